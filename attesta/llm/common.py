@@ -69,3 +69,12 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def ascii_lower(col):
     """A-Z to a-z and nothing else; plain ``lower`` where the text is ASCII, as both agree there and it is faster."""
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
+
+
+def let(value, body):
+    """``body(value)`` with ``value`` computed once a row.
+
+    A plain column may be put in place of its name by filter push-down, also inside lambdas, and would then be computed
+    for each element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)

@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, exact_dedup, line_dedup, simhash
+from attesta.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -23,6 +27,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,15 +40,48 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 _KEY = "translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATES = ",\n  ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in license_scan.TEMPLATES)
+
+
+_BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+_W = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _shingles(table: str, key: str) -> str:
+    return f"""
+  SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i
+        FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}))"""
+
+
 ORACLE_SQL = {
+    "op1_license_scan": f"""
+WITH t(license_id, text) AS (VALUES
+  {_TEMPLATES}),
+tg AS (SELECT license_id, {_BIGRAMS} AS grams FROM (SELECT license_id, {_W.format("text")} AS w FROM t)),
+u AS (SELECT DISTINCT doc_id, unnest(list_concat([text], regexp_split_to_array(text, '\\n\\s*\\n'), string_split(text, chr(10)),
+        string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))) AS unit FROM documents),
+ug AS (SELECT doc_id, {_BIGRAMS} AS g FROM (SELECT doc_id, {_W.format("unit")} AS w FROM u)),
+d AS (SELECT doc_id, license_id, 2e0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+      FROM ug JOIN tg ON len(g) BETWEEN 0.6 * len(grams) AND 1.6 * len(grams))
+SELECT doc_id, license_id, max(dice) AS dice, count(*) AS n_units FROM d WHERE dice >= 0.8 GROUP BY doc_id, license_id""",
+    "op4_decontaminate": f"""
+WITH d AS ({_shingles("documents", "doc_id")}),
+i AS ({_shingles("benchmark", "item_id")}),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles""",
     "op2_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
