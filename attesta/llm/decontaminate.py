@@ -64,13 +64,30 @@ def signatures(items: DataFrame) -> DataFrame:
     return pair.groupBy("item_id", "bound", "fn").agg(F.min("x").alias("x")).select("x.s", "item_id", "bound", "fn", "x.least")
 
 
-def candidates(docs: DataFrame, signature: DataFrame) -> DataFrame:
-    """(doc_id, th, item_id) whose windows share a MinHash value. ``docs`` has doc_id, th and hashes."""
-    hits = docs.select("doc_id", "th", "hashes", F.posexplode_outer("hashes").alias("pos", "s")).join(F.broadcast(signature), "s")
-    first = F.greatest(F.col("pos") - F.col("bound") + 1, F.lit(0))
-    window = F.slice("hashes", first + 1, F.col("pos") + F.col("bound") - first)
-    least = F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.col("fn"))))
-    return hits.select("doc_id", "th", "item_id", (least == F.col("least")).alias("same")).where("same").select("doc_id", "th", "item_id").distinct()
+def _of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, th, ...) that ``keys`` (__d, __t) names."""
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["__d"]) & (docs["th"] == keys["__t"]), "left_semi")
+
+
+def candidates(keyed: DataFrame, signature: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__d, __t, item_id) of documents with a window that shares a MinHash value. ``keyed`` has doc_id, th and text.
+
+    Hits are found with their positions alone; only their documents are read again for the windows.
+    """
+    hashes = shingles(F.col("text"), F.xxhash64)
+    sought = F.broadcast(signature.select("s", "bound").distinct())
+    hits = keyed.select("doc_id", "th", F.posexplode_outer(hashes).alias("pos", "s")).join(sought, "s")
+    hits = scratch.keep(hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "s", "bound")).alias("hits")).withColumnsRenamed({"doc_id": "__d", "th": "__t"}))
+    docs = _of(keyed, checked_broadcast(hits.select("__d", "__t"))).select("doc_id", "th", hashes.alias("hashes"))
+
+    def window(h: Column) -> Column:
+        first = F.greatest(h["pos"] - h["bound"] + 1, F.lit(0))
+        return F.struct(h["s"].alias("s"), h["bound"].alias("bound"), F.slice("hashes", first + 1, h["pos"] + h["bound"] - first).alias("window"))
+
+    both = docs.join(hits, docs["doc_id"].eqNullSafe(hits["__d"]) & (docs["th"] == hits["__t"]))
+    near = both.select("__d", "__t", F.explode_outer(F.transform("hits", window)).alias("x")).select("__d", "__t", "x.*")
+    least = F.array_min(F.transform("window", lambda x: F.xxhash64(x, F.col("fn"))))
+    return near.join(F.broadcast(signature), ["s", "bound"]).where(least == F.col("least")).select("__d", "__t", "item_id").distinct()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, pass_rows: int = PASS_ROWS, scratch: Scratch | None = None) -> DataFrame:
@@ -84,13 +101,11 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
     known = scratch.keep(_items(items, item_id, item_text))
     signature = scratch.keep(signatures(known))
     passes = max(1, -(-signature.count() // pass_rows))
-    hashed = keyed.select("doc_id", "th", shingles(F.col("text"), F.xxhash64).alias("hashes"))
-    found = [scratch.keep(candidates(hashed, signature.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p))) for p in range(passes)]
-    pairs = reduce(DataFrame.unionByName, found).withColumnRenamed("doc_id", "__d").withColumnRenamed("th", "__t")
+    found = [scratch.keep(candidates(keyed, signature.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p), scratch)) for p in range(passes)]
+    pairs = reduce(DataFrame.unionByName, found)
 
     keys = checked_broadcast(scratch.keep(pairs.select("__d", "__t").distinct()))
-    again = keyed.join(keys, keyed["doc_id"].eqNullSafe(keys["__d"]) & (keyed["th"] == keys["__t"]), "left_semi")
-    again = again.select("doc_id", "th", F.explode_outer(shingles(F.col("text"), _joined)).alias("shingle"))
+    again = _of(keyed, keys).select("doc_id", "th", F.explode_outer(shingles(F.col("text"), _joined)).alias("shingle"))
     wanted = checked_broadcast(known.select("item_id", F.size("shingles").cast("bigint").alias("n_shingles"), F.explode("shingles").alias("shingle")))
     shared = again.join(wanted, "shingle").groupBy("doc_id", "th", "item_id", "n_shingles").agg(F.countDistinct("shingle").alias("n_shared"))
     shared = shared.where(F.col("n_shared") >= threshold * F.col("n_shingles"))
