@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, pii, secrets, simhash
+from attesta.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, pii, quality, secrets, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,10 +39,20 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_read(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= toxicity.CUT).cast("int")
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "spans")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -54,7 +64,9 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
