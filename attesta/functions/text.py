@@ -12,7 +12,7 @@ WORDS = r"[\p{L}\p{N}_]+"
 
 def sentences(text: Column) -> Column:
     """Split behind ``.``, ``!`` or ``?`` and white space; trimmed, blank ones dropped."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def tokens(text: Column) -> Column:

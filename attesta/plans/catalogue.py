@@ -251,7 +251,7 @@ def dense_topk_filtered(t):
 def dense_ivf(t):
     """Searched by an inverted file; recall against dense_topk is measured in the tests."""
     index = retrieve.InvertedFile(t("embeddings"), 16, ident="vec_id", vector="embedding")
-    return index.search(_asked(t), 10, 8, query_id="vec_id", query_vector="embedding")
+    return index.search(_asked(t), 10, 12, query_id="vec_id", query_vector="embedding")
 
 
 _PLACE = "CAST(('0x' || substr(md5(term), 1, 6))::BIGINT % 4096 AS INTEGER)"
