@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from attesta.functions import templates, text
 from attesta.functions.vectors import prune
-from attesta.operators import chunk, docgen, evaluate, intent, metadata, retrieve, spans
+from attesta.operators import chunk, docgen, evaluate, intent, metadata, retrieve, spans, structured
 from attesta.operators.filters import compile_filter
+from attesta.plans import documents
 from attesta.plans.answer import answer
 from attesta.sources import readers
 from attesta.streaming.ingest import latest_stage, stage_rows
@@ -579,3 +580,58 @@ def stage_stream(t):
 @query()
 def stage_latest(t):
     return latest_stage(stage_rows(_answers(t)))
+
+
+# Structured answers and hits
+
+
+@query(f"""
+SELECT doc_id, 'M: [1] ' || first(span ORDER BY start, span_id) || ' N: (no relevant information found) again [2] ' || first(span ORDER BY start, span_id) AS answer
+FROM ({_VERIFIED}) GROUP BY doc_id""")
+def structured_fill(t):
+    first = F.get("spans", F.lit(0))
+    raw = F.to_json(F.create_map(F.lit("METHOD"), F.array(first, F.lit("this stands nowhere!?"))))
+    rows = _spans_of(t).join(t("documents").select("doc_id", "text"), "doc_id").select("doc_id", "text", structured.normalise(raw).alias("v"))
+    rows = rows.withColumn("v", F.transform_values("v", lambda _, s: structured.verified(s, F.array("text"))))
+    return rows.select("doc_id", structured.fill(F.lit("M: [METHOD] N: [NOTE] again [METHOD]"), F.col("v")).alias("answer"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS dataset_id FROM events")
+def hits_to_results(t):
+    rows = structured.hits_to_results(t("events").select("event_id", F.col("props").alias("metadata"), F.col("event_type").alias("dataset_id")))
+    return rows.select("event_id", F.try_element_at("metadata", F.lit("k")).alias("k"), F.element_at("metadata", "dataset_id").alias("dataset_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed under')")
+def contains_search(t):
+    return structured.containing(t("documents"), "text", "LICENSED under").select("doc_id")
+
+
+@query("SELECT doc_id, CAST(doc_id % 7 AS INTEGER) AS first, 2 AS n FROM documents")
+def citation_markers(t):
+    marked = F.concat(F.lit("a ["), (F.col("doc_id") % 7).cast("string"), F.lit("] `[9]` b [12] ```\n[3]\n```"))
+    found = structured.citation_markers(marked)
+    return t("documents").select("doc_id", F.get(found, F.lit(0)).alias("first"), F.size(found).alias("n"))
+
+
+@query("SELECT label, CAST(i - 1 AS INTEGER) AS place, round(avg(embedding[i]::DOUBLE), 6) AS x FROM embeddings, range(1, 65) r(i) GROUP BY label, i")
+def mean_pool(t):
+    rows = structured.mean_pool(t("embeddings"), "label", "embedding")
+    return rows.select("label", F.posexplode("vector").alias("place", "x")).select("label", "place", F.round("x", 6).alias("x"))
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS created_at, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
+def storage_times(t):
+    return t("events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_at"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+
+
+@query()
+def templated_documents(t):
+    body = F.concat(F.lit("# Report "), F.col("item_id").cast("string"), F.lit("\n[!query="), F.regexp_replace("text", r"[\[\]|]", " "), F.lit("| format=bullet]\nend"))
+    asked = t("benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("id"), body.alias("text"))
+    return documents.process(asked, t("documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query()
+def flat_highlights(t):
+    return structured.flat_highlights(_answers(t))
