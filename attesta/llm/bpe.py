@@ -50,15 +50,19 @@ class Automaton:
     """Tables of the compiled merges. ``end`` marks the last symbol of a word."""
 
     def __init__(self, vocab: dict[str, int], merges: list, end: str, special: dict[str, int]):
-        self.vocab, self.end, self.special = vocab, end, special
+        self._known, self.end, self.special = vocab, end, special
         size = max([*vocab.values(), *special.values()]) + 1
         self.size = size
         self.labels = [""] * size
         for label, i in [*vocab.items(), *special.items()]:
             self.labels[i] = label
         self.left, self.right, self.born, self.lost = array("i", [-1]) * size, array("i", [-1]) * size, array("q", [-1]) * size, {}
+        made = {u + v for u, v in merges}
+        if len(made) < len(merges):
+            raise ValueError("two merges make the same label")
+        self.vocab = {label: i for label, i in vocab.items() if label not in made}  # of labels with an arc
         for k, (u, v) in enumerate(merges):
-            self._gadget(k, vocab[u], vocab[v], vocab[u + v])
+            self._gadget(k, u, v)
         self.longest = max(map(len, vocab), default=1)
 
     @classmethod
@@ -68,10 +72,14 @@ class Automaton:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         return cls(spec["model"]["vocab"], merges, spec["model"]["end_of_word_suffix"] or "", {t["content"]: t["id"] for t in spec["added_tokens"]})
 
-    def _gadget(self, k: int, u: int, v: int, uv: int) -> None:
-        self.lost.setdefault(u * self.size + v, k)
-        if self.left[uv] < 0:
-            self.left[uv], self.right[uv], self.born[uv] = u, v, k
+    def _gadget(self, k: int, u: str, v: str) -> None:
+        """Merge k. Where no ``u`` arc is followed by a ``v`` arc, earlier merges always win and nothing is added."""
+        a, b = self.vocab.get(u), self.vocab.get(v)
+        if a is None or b is None or not self.arc(a, b):
+            return
+        self.vocab[u + v] = made = self._known[u + v]
+        self.lost[a * self.size + b] = k
+        self.left[made], self.right[made], self.born[made] = a, b, k
 
     def arc(self, state: int, label: int) -> bool:
         """Whether the state behind token ``state`` has an arc ``label``."""
