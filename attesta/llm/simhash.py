@@ -19,6 +19,7 @@ ignored by :func:`near_groups`; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ from attesta.llm.common import Scratch, checked_broadcast
 
 #: Words of a shingle; bits that may differ; fingerprints of a shard before it is split; tree visits held at once.
 WORDS, RADIUS, SHARD_ROWS, VISITS = 3, 3, 100_000, 2_000_000
+#: The wide form: words of a shingle; bits of 128 that may differ; share of bits in which texts of Jaccard index 0.8 agree
+#: (their cosine is 2J / (1 + J) = 0.889, an angle of 27.3 degrees); part of such pairs that meet in a shard.
+WIDE_WORDS, WIDE_RADIUS, AGREE, WIDE_RECALL = 5, 26, 0.848, 0.98
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -60,18 +64,20 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 class Forest:
-    """BK-trees of many shards. ``shard`` is sorted; fingerprints within a shard are distinct."""
+    """BK-trees of many shards. ``shard`` is sorted; fingerprints (rows of 64-bit words) within a shard are distinct."""
 
-    def __init__(self, shard: np.ndarray, fps: np.ndarray):
-        self.fps, n = fps, len(fps)
+    def __init__(self, shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS):
+        self.fps, self.radius, n = fps.reshape(len(shard), -1), radius, len(shard)
         edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if n else np.zeros(0, np.int64)
         self.size = np.repeat(np.diff(np.r_[edge, n]), np.diff(np.r_[edge, n]))
         self.root = np.repeat(edge, np.diff(np.r_[edge, n]))
-        codes, children = [], []
+        codes, children, self.above = [], [], []
         nodes, head = np.arange(n), self.root
         while (rest := nodes != head).any():
             nodes, head = nodes[rest], head[rest]
-            code = head * 128 + np.bitwise_count(fps[nodes] ^ fps[head])
+            d = self._distance(nodes, head)
+            self.above.append((nodes[d <= radius], head[d <= radius]))
+            code = head * 1024 + d
             order = np.argsort(code, kind="stable")
             nodes, code = nodes[order], code[order]
             first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
@@ -82,25 +88,51 @@ class Forest:
         order = np.argsort(code)
         self.code, self.child = code[order], child[order]
 
-    def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node) within the radius, of each query and the nodes of its own shard."""
+    def _distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.fps[a] ^ self.fps[b]).sum(1, np.int64)
+
+    def near(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node) within the radius, of each query and the other nodes of its own shard."""
         q, node = queries, self.root[queries]
         while len(q):
-            d = np.bitwise_count(self.fps[q] ^ self.fps[node]).astype(np.int64)
-            hit = (d <= radius) & (q < node)
+            d = self._distance(q, node)
+            hit = (d <= self.radius) & (q != node)
             yield q[hit], node[hit]
-            lo = np.searchsorted(self.code, node * 128 + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.code, node * 128 + d + radius, "right") - lo
+            lo = np.searchsorted(self.code, node * 1024 + np.maximum(d - self.radius, 0))
+            n = np.searchsorted(self.code, node * 1024 + d + self.radius, "right") - lo
             q = np.repeat(q, n)
             node = self.child[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
-    def stars(self, radius: int = RADIUS, visits: int = VISITS) -> tuple[np.ndarray, np.ndarray]:
-        """Each node that is connected to an earlier one of its shard, with the first of its group."""
-        label, queries = np.arange(len(self.fps)), np.flatnonzero(self.size > 1)
+    def _search(self, label: np.ndarray, queries: np.ndarray, visits: int) -> np.ndarray:
         cost = np.cumsum(self.size[queries])
         for part in np.split(queries, np.flatnonzero(np.diff(cost // visits)) + 1) if len(queries) else []:
-            for a, b in self.near(part, radius):
+            for a, b in self.near(part):
                 label = _connected(label, a, b)
+        return label
+
+    def groups(self, visits: int = VISITS) -> np.ndarray:
+        """For each node the first node of its group: those connected by links within its shard.
+
+        Nodes are first linked to the parents and further ancestors within the radius. Nodes without any search the
+        tree. Then a shard's largest group is settled, as each pair with a node outside it is found from there: only
+        nodes outside search. A dense group of near copies is so joined without all its pairs.
+        """
+        n = len(self.fps)
+        label, free = np.arange(n), self.size > 1
+        for a, b in self.above:
+            label = _connected(label, a, b)
+            free[a] = False
+        label = self._search(label, np.flatnonzero(free), visits)
+        count = np.bincount(label, minlength=n)
+        order = np.lexsort((count[label], self.root))
+        last = np.flatnonzero(np.r_[self.root[order][1:] != self.root[order][:-1], True]) if n else order
+        largest = np.zeros(n, np.int64)
+        largest[self.root[order[last]]] = label[order[last]]
+        return self._search(label, np.flatnonzero((label != largest[self.root]) & ~free & (self.size > 1)), visits)
+
+    def stars(self, visits: int = VISITS) -> tuple[np.ndarray, np.ndarray]:
+        """Each node that is connected to an earlier one of its shard, with the first of its group."""
+        label = self.groups(visits)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return self.fps[moved], self.fps[label[moved]]
 
@@ -118,22 +150,34 @@ def _connected(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by shard: whole shards are taken together, the last one waits for the next batch."""
-    shard, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _stars(radius: int, width: int):
+    """A function over rows (shard, fp) sorted by shard: whole shards are taken together, the last waits for more."""
 
-    def out(n: int) -> pa.RecordBatch:
-        u, v = Forest(shard[:n], fps[:n].view(np.uint64)).stars()
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+    def words(column: pa.Array) -> np.ndarray:
+        if pa.types.is_binary(column.type):
+            return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
+        return column.to_numpy().view(np.uint64).reshape(-1, 1)
 
-    for batch in batches:
-        shard = np.concatenate([shard, batch.column(0).to_numpy()])
-        fps = np.concatenate([fps, batch.column(1).to_numpy()])
-        if len(shard) > 200_000 and shard[0] != shard[-1]:
-            n = int(np.searchsorted(shard, shard[-1]))
-            yield out(n)
-            shard, fps = shard[n:], fps[n:]
-    yield out(len(shard))
+    def column(fps: np.ndarray, binary: bool) -> pa.Array:
+        return pa.array([x.tobytes() for x in fps], pa.binary()) if binary else pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, fps, binary = np.zeros(0, np.int64), np.zeros((0, width), np.uint64), width > 1
+
+        def out(n: int) -> pa.RecordBatch:
+            u, v = Forest(shard[:n], fps[:n], radius).stars()
+            return pa.RecordBatch.from_arrays([column(u, binary), column(v, binary)], ["u", "v"])
+
+        for batch in batches:
+            shard = np.concatenate([shard, batch.column(0).to_numpy()])
+            fps = np.concatenate([fps, words(batch.column(1))])
+            if len(shard) > 200_000 and shard[0] != shard[-1]:
+                n = int(np.searchsorted(shard, shard[-1]))
+                yield out(n)
+                shard, fps = shard[n:], fps[n:]
+        yield out(len(shard))
+
+    return run
 
 
 def _bits(col, at: int, width: int):
@@ -179,29 +223,90 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = after
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, shard_rows: int = SHARD_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """One row per document: doc_id, fp, component_id."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    prints = scratch.keep(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
-    classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    dealt = shards(classes.select("fp"), shard_rows)
-    stars = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars, "u bigint, v bigint")
+def _settle(prints: DataFrame, classes: DataFrame, stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, fp, component_id from fingerprints (doc_id, fp), their classes (fp, first) and the links."""
     found = components(stars, scratch)
     found = found.unionByName(found.select(F.col("root").alias("u"), "root").distinct())
     linked = classes.join(found.withColumnRenamed("u", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
-    known = classes.join(linked, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    # Written, so that the last join deals two plain tables and Spark can split the rows of a common fingerprint.
+    known = scratch.keep(classes.join(linked, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")))
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, shard_rows: int = SHARD_ROWS, scratch: Scratch | None = None) -> DataFrame:
+    """One row per document: doc_id, fp, component_id."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    prints = scratch.keep(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
+    classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    dealt = shards(classes.select("fp"), shard_rows)
+    stars = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars(RADIUS, 1), "u bigint, v bigint")
+    return _settle(prints, classes, stars, scratch)
+def wide_fingerprint(text: bytes, words: int = WIDE_WORDS) -> bytes:
+    """128 majority bits over a text's distinct shingles, so that the share of equal bits follows their Jaccard index."""
+    parts = text.lower().split()
+    if not parts:
+        return bytes(16)
+    shingles = {b" ".join(s) for s in zip(*(parts[i:] for i in range(words)), strict=False)} or {b" ".join(parts)}
+    counts, digests = np.zeros(128, np.int64), [xxhash.xxh128_digest(s, 42) for s in sorted(shingles)]
+    for start in range(0, len(digests), 1 << 15):
+        part = np.frombuffer(b"".join(digests[start : start + (1 << 15)]), np.uint8)
+        counts += np.unpackbits(part).reshape(-1, 128).sum(0, np.int64)
+    return np.packbits(counts * 2 > len(digests)).tobytes()
+
+
+def sampled_keys(n: int) -> list[list[int]]:
+    """Bit places of each table, for ``n`` fingerprints: keys grow with log2(n), tables so that ``WIDE_RECALL`` holds.
+
+    A pair of Jaccard index 0.8 agrees in a bit with probability ``AGREE``, and meets in at least one table with
+    probability ``WIDE_RECALL``.
+    """
+    bits = max(16, math.ceil(math.log2(max(2, n))) - 6)
+    tables = math.ceil(math.log(1 - WIDE_RECALL) / math.log(1 - AGREE**bits))
+    rng = np.random.default_rng(42)
+    return [sorted(rng.choice(128, bits, replace=False).tolist()) for _ in range(tables)]
+
+
+def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, scratch: Scratch | None = None) -> DataFrame:
+    """One row per document: doc_id, fp, component_id, for texts of a shingle similarity of about 0.8 or more.
+
+    Such texts differ in up to ``radius`` of 128 bits, too many for bands that must agree. Shards are then keyed by
+    sampled bits in several tables; trees, stars and components are as in :func:`near_groups`.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t or b"", words) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
+
+    prints = scratch.keep(base.mapInArrow(prints_of, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fp binary"))
+    classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    tables = sampled_keys(classes.count())
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, power = np.array(tables), 1 << np.arange(len(tables[0]), dtype=np.int64)
+        for batch in batches:
+            for start in range(0, len(batch), 2000):
+                fps = batch.column(0).slice(start, 2000).to_pylist()
+                bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8)).reshape(-1, 128).astype(np.int64)
+                key = np.stack([bits[:, p] @ power for p in places], 1) + (np.arange(len(places)) << 40)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array([f for f in fps for _ in places], pa.binary())], ["shard", "fp"])
+
+    dealt = classes.select("fp").mapInArrow(keys_of, "shard bigint, fp binary")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stars = dealt.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars(radius, 2), "u binary, v binary")
+    return _settle(prints, classes, stars, scratch)
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups=wide_groups) -> DataFrame:
     """The rows whose doc_id is the smallest of their component, with all their columns.
 
     Rows that repeat a doc_id are one document and stay or go together; rows without a doc_id stay.
     """
     scratch = Scratch(docs.sparkSession)
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, words=words, scratch=scratch)
+    groups = groups(docs, id_col=id_col, text_col=text_col, scratch=scratch)
     gone = scratch.keep(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     gone = checked_broadcast(gone)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -22,8 +22,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of texts whose fingerprints, over shingles of five words, link."""
-    return simhash.keep_one_of_each(docs, words=5)
+    """One document stays of each group of texts with a similarity of 0.8 or more over shingles of five words."""
+    return simhash.keep_one_of_each(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def test_near_groups(docs, rows, words, shard_rows):
     got = Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_groups(docs, words=words, shard_rows=shard_rows).collect())
     assert got == want
     if shard_rows:
-        keep = simhash.keep_one_of_each(docs, words=words)
+        keep = simhash.keep_one_of_each(docs, groups=lambda d, **o: simhash.near_groups(d, words=words, shard_rows=0, **o))
         assert keep.columns == docs.columns
         assert sorted(str(r.doc_id) for r in keep.collect()) == sorted(str(i) for i, p, c in want.elements() if i is None or i == c)
 
@@ -134,7 +134,7 @@ def test_forest_and_shards(spark):
     root = components_brute([int(x) for x in fps])
     for visits in (200, 2_000_000):
         u, v = simhash.Forest(np.zeros(len(fps), np.int64), fps).stars(visits=visits)
-        star = dict(zip(u.tolist(), v.tolist(), strict=True))
+        star = dict(zip(u.ravel().tolist(), v.ravel().tolist(), strict=True))
         groups = lambda m: {frozenset(x for x in root if m(x) == r) for r in {m(x) for x in root}}
         assert groups(lambda x: star.get(x, x)) == groups(root.get)
     links = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[:i] if int(a ^ b).bit_count() <= 3}
@@ -146,6 +146,38 @@ def test_forest_and_shards(spark):
         assert all(any(a in s and b in s for s in held.values()) for a, b in links)
 
 
+def test_wide_groups(spark, docs, rows, empty):
+    """Near copies by changed words meet, other texts do not; copies and blank texts are groups."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("aeinrst"), 6)) for _ in range(400)]
+    data = []
+    for g in range(60):
+        words = list(rng.choice(vocabulary, 150))
+        data.append((g * 10, " ".join(words)))
+        for k in range(1, 4):
+            changed = list(words)
+            for at in rng.choice(150, k, replace=False):
+                changed[at] = "changed"
+            data.append((g * 10 + k, " ".join(changed)))
+    got = {r.doc_id: r.component_id for r in simhash.wide_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(c // 10 == d // 10 for d, c in got.items())
+    assert sum(c == d // 10 * 10 for d, c in got.items()) >= 0.97 * len(data)
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 6, 9, None}
+    assert {6, 1} == {r.component_id for r in simhash.wide_groups(docs).where("doc_id in (3, 4, 5, 7, 8)").collect()}
+    assert simhash.wide_groups(empty).count() == 0
+
+
+def test_dense_group_without_all_pairs():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, (1, 2), dtype=np.uint64)
+    near = np.unique(base ^ (np.uint64(1) << rng.integers(0, 64, (400, 2), dtype=np.uint64)), axis=0)
+    far = rng.integers(0, 2**63, (200, 2), dtype=np.uint64)
+    fps = np.concatenate([far[:100], near, far[100:]])
+    label = simhash.Forest(np.zeros(len(fps), np.int64), fps, 24).groups(visits=5000)
+    assert len(set(label[100 : 100 + len(near)])) == 1 and len(set(label)) == 201
+
+
 def test_chain_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     from attesta.llm.common import Scratch
