@@ -6,6 +6,7 @@ lexical stand-ins; those are not a match for models.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.templates import PRESETS, fill
 from attesta.functions.text import clean_answer, sentences, tokens
+from attesta.operators import structured
 from attesta.operators.retrieve import bm25_topk
 from attesta.operators.spans import highlights
 
@@ -81,3 +83,32 @@ def evidence(display: int = 5):
         return run
 
     return wrap
+
+
+def placeholder_hints(template: str, custom: dict[str, str] | None = None) -> dict[str, str]:
+    """A question hint for each semantic placeholder of a template: the custom one, or its name in plain words."""
+    names = [n for n in dict.fromkeys(re.findall(r"\[([A-Z][A-Z0-9_]+)\]", template)) if n not in ("DISPLAY_SPANS", "RELEVANT_SENTENCES", "CITATION_REFS") and not n.startswith(("FACT_", "SPAN_"))]
+    return {n: (custom or {}).get(n, n.lower().replace("_", " ")) for n in names}
+
+
+def answer_structured(questions: DataFrame, corpus: DataFrame, template: str, *, k: int = 5, hints: dict[str, str] | None = None, **options) -> DataFrame:
+    """question_id, answer: each placeholder is answered by spans of its own, in one job for all questions.
+
+    The placeholders are configuration; each adds its hint to the question.
+    """
+    wanted = placeholder_hints(template, hints)
+    if not wanted:
+        raise ValueError("the template has no semantic placeholder")
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(h).alias("hint")) for n, h in wanted.items()]))
+    asked = questions.select(F.col("id").alias("__q"), "text", pairs.alias("p")).select("__q", "p.name", F.concat_ws("|", F.col("__q").cast("string"), "p.name").alias("id"), F.concat_ws(" ", "text", "p.hint").alias("text"))
+    found = answer(asked.select("id", "text"), corpus, k=k, **options)
+    texts = F.transform("citations", lambda c: F.struct(c["text"].alias("text"), c["doc_index"].alias("doc")))
+    rows = asked.select("__q", "name", "id").join(found.select(F.col("question_id").alias("id"), F.array_distinct(texts).alias("spans")), "id", "left")
+    empty = F.array().cast("array<struct<text:string,doc:int>>")
+    values = rows.groupBy("__q").agg(F.map_from_entries(F.collect_list(F.struct("name", F.coalesce("spans", empty)))).alias("values"))
+    return values.select(F.col("__q").alias("question_id"), structured.fill(F.lit(template), F.col("values")).alias("answer"))
+
+
+def valid_questions(questions: DataFrame, text: str = "text", longest: int = 1000) -> DataFrame:
+    """The questions that are not blank and not too long."""
+    return questions.where((F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0) & (F.length(text) <= longest))

@@ -43,3 +43,8 @@ def stage_rows(answers: DataFrame) -> DataFrame:
 def latest_stage(stages: DataFrame) -> DataFrame:
     """What a client holds after all stages: the last payload of each type."""
     return stages.groupBy("question_id").agg(*[F.max_by("payload", F.when(F.col("type") == t, F.col("seq"))).alias(t) for t in ("documents", "highlights", "answer")])
+
+
+def write_ndjson(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, files in the order of the rows' partitions."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)

@@ -215,3 +215,76 @@ def test_store_and_stream(spark, tmp_path):
     assert store.scan("document_id == 1 && chunk_number > 0", 10).count() == 3
     store.delete_documents(spark.createDataFrame([(1,)], "id long"))
     assert store.read("chunks").count() == 8 and store.inspect().first().chunks == 8
+
+
+def test_structured_answer(spark):
+    from attesta.plans.answer import answer_structured, placeholder_hints, valid_questions
+
+    template = "Place: [LOCATION]\nAge: [TOWER_AGE]\nNone: [COLOUR]"
+    assert placeholder_hints(template, {"COLOUR": "paint"}) == {"LOCATION": "location", "TOWER_AGE": "tower age", "COLOUR": "paint"}
+    q = spark.createDataFrame([(1, "tower"), (2, "zzz")], "id int, text string")
+    corpus = spark.createDataFrame([("c0", "The location of the tower is Paris. The tower age is known. Nothing else.")], "id string, text string")
+    got = {r.question_id: r.answer for r in answer_structured(q, corpus, template).collect()}
+    assert "[1] The location of the tower is Paris." in got[1] and "The tower age is known." in got[1]
+    assert got[2].endswith("None: (no relevant information found)")
+    asked = spark.createDataFrame([(1, "ok"), (2, "  "), (3, None), (4, "x" * 1001)], "id int, text string")
+    assert [r.id for r in valid_questions(asked).collect()] == [1]
+
+
+def test_structured_shapes(spark):
+    from attesta.operators import structured
+
+    raw = '{"A": ["plain", {"text": "t", "doc": 1}, {"doc": 2}, 5], "B": []}'
+    r = spark.createDataFrame([(raw,), ("not json",)], "raw string").select(structured.normalise(F.col("raw")).alias("v")).collect()
+    assert [(s.text, s.doc) for s in r[0].v["A"]][:2] == [("plain", 0), ("t", 1)] and r[1].v == {}
+    docs = F.array(F.lit("has t here"), F.lit("plain"))
+    spans_ = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(d).alias("doc")) for t, d in (("t", 0), ("t", 0), ("plain", 1), ("t", 9), ("no", 0))])
+    assert [(s.text, s.doc) for s in spark.range(1).select(structured.verified(spans_, docs).alias("x")).first().x] == [("t", 0), ("plain", 1)]
+    hits = spark.createDataFrame([('{"a": "1"}', "d"), ("junk", None), (None, None)], "metadata string, document_id string")
+    assert [dict(r.metadata) for r in structured.hits_to_results(hits).collect()] == [{"a": "1", "document_id": "d"}, {"raw": "junk"}, {}]
+    assert spark.range(1).select(structured.citation_markers(F.lit("a [2] `[3]` [14]")).alias("x")).first().x == [2, 14]
+
+
+def test_sentence_classifier(spark):
+    from attesta.operators import classify
+
+    rows = spark.createDataFrame([("red fox den", f"the red fox has a den {i}", True) for i in range(20)] + [("red fox den", f"stock prices fell {i}", False) for i in range(20)], "question string, text string, relevant boolean")
+    out = classify.score(classify.fit(rows), rows).collect()
+    assert all(r.relevant_predicted == r.relevant for r in out)
+
+
+def test_documents_and_batches(spark, tmp_path):
+    from attesta.plans import documents
+    from attesta.plans.extensions import HashEmbedder, OverlapReranker, completion, embedding, model_extractor, rerank_scores, with_chunks
+    from attesta.streaming.ingest import write_ndjson
+
+    corpus = spark.createDataFrame([("c", "The big tower is in Paris. It is old.")], "id string, text string")
+    t = spark.createDataFrame([("d", "# R\n[!query=where is the big tower| format=bullet]\nend"), ("e", "none"), ("f", "x [!query=zzz] y")], "id string, text string")
+    got = {r.document_id: r.text for r in documents.process(t, corpus).collect()}
+    assert "- [1] The big tower is in Paris." in got["d"] and got["f"] == "x [No answer] y" and got["e"] == "none"
+    stages = documents.stages(t, documents.process(t, corpus)).where("document_id = 'd'").orderBy("seq").collect()
+    assert [s.type for s in stages] == ["queries_found", "query_complete", "document"]
+    records = spark.createDataFrame([("where is the tower", ["The tower is here.", "Else."]), ("zz", [])], "question string, context array<string>")
+    out = documents.answer_records(records)
+    assert out.count() == 1 and "The tower is here." in out.first().answer
+    write_ndjson(out.select("question", "answer"), str(tmp_path / "o"))
+    assert spark.read.json(str(tmp_path / "o")).count() == 1
+
+    class Model:
+        def complete(self, prompt):
+            if "fail" in prompt:
+                raise RuntimeError("no")
+            return '["The big tower is in Paris.", "made up"]'
+
+    class Lines:
+        def chunk(self, text):
+            return [(x, "> " + x) for x in text.split(". ")]
+
+    assert with_chunks(corpus, Lines()).count() == 2
+    row = corpus.select(embedding(F.col("text"), HashEmbedder(8)).alias("v"), rerank_scores(F.lit("big tower"), F.col("text"), OverlapReranker()).alias("s"), completion(F.lit("fail"), Model()).alias("c")).first()
+    assert len(row.v) == 8 and row.s == 1.0 and "error" in row.c
+    q = spark.createDataFrame([("q", "tower")], "id string, text string")
+    from attesta.plans.answer import answer
+
+    cites = answer(q, corpus, extractor=model_extractor(Model(), "{{ question }} {{ document }}")).first().citations
+    assert [c.text for c in cites] == ["The big tower is in Paris."]
