@@ -20,15 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def query(sql: str | None = None):
     """Register a query (tables in, DataFrame out) and its SQL."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: _table(spark, sf_dir, name))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: readers.read_table(spark, sf_dir, name))
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f

@@ -82,3 +82,17 @@ def labelled_sentences(samples: DataFrame) -> DataFrame:
     rows = rows.select("id", "question", "relevant_keys", F.posexplode("documents").alias("doc_index", "sentences"))
     rows = rows.select("id", "question", "doc_index", "relevant_keys", F.posexplode("sentences").alias("sentence_index", "s"))
     return rows.select("id", "question", "doc_index", "sentence_index", "s.key", "s.text", F.coalesce(F.array_contains("relevant_keys", F.col("s.key")), F.lit(False)).alias("relevant"))
+
+
+#: Tables whose rows cost much to work on.
+WIDE = ("documents", "pages", "conversations", "embeddings")
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of ``folder``. A wide one in far fewer partitions than there are cores is dealt to all of them.
+
+    Only small single-file tables are; larger ones have a partition for each split and are read as they are.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if name in WIDE and table.rdd.getNumPartitions() * 2 <= cores else table
