@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, pii, quality, secrets, simhash, toxicity
+from attesta.sources.readers import read_table
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, sf_dir, table)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
