@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +21,21 @@ def session(master: str | None = None, app: str = "attesta", **settings: str) ->
     """A session; ``settings`` override the defaults. The cluster's own master is used unless one is given."""
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on the workers, unless their Python path has it already. Done once a context."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (context.master.startswith("local[") and os.getcwd() == root)
+    if known or getattr(context, "_attesta_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(), "attesta.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "attesta")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    context.addPyFile(target)
+    context._attesta_shipped = True

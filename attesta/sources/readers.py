@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import content_type, html_to_text
 from attesta.schema import CONTEXT
+from attesta.session import ship
 
 #: File suffixes that a folder scan takes.
 SUFFIXES = ("pdf", "docx", "html", "htm", "txt", "md")
@@ -93,6 +94,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
     Only small single-file tables are; larger ones have a partition for each split and are read as they are.
     """
+    ship(spark)
     table = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return table.repartition(cores) if name in WIDE and table.rdd.getNumPartitions() * 2 <= cores else table
