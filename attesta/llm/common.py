@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.session import ship
+
 #: Rows up to which a side may be broadcast after it has been counted; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -33,6 +35,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.base, self.n = spark, f"{shared_folder(spark)}/attesta-{uuid.uuid4().hex}", 0
         atexit.register(self._remove, self.base)
 

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm import bpe, decontaminate, exact_dedup, quality, simhash
 from attesta.llm.common import Scratch
+from attesta.session import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -31,6 +33,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
