@@ -167,8 +167,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     """A scorer from at most ``sample`` labelled values and the words of at most ``rows`` rows, both of least hash."""
     values = over_texts(docs, lambda: lambda text: (labelled_values(text),), [("values", "array<string>", pa.list_(pa.string()))], id_col=id_col, text_col=text_col)
     values = values.select(F.explode("values").alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(sample)
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    words = plain.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9+/_=-]{4,}"), 0))).alias("w"))
+    # The rows are chosen by id alone; only the chosen rows' texts move.
+    chosen = F.broadcast(docs.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct())
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id", "left_semi")
+    words = plain.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9+/_=-]{4,}"), 0))).alias("w")).where("w IS NOT NULL")
     return Scorer(sorted(r.v for r in values.collect()), sorted(r.w for r in words.collect()))
 
 
