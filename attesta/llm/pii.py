@@ -6,9 +6,9 @@ PMI(t, k) = log2(n(t, k) N / (n(t) n(k))) is held against the information IC(k)
 A term that tells at least ``DISCLOSURE`` of it, with enough support, is a span where it stands in such a context; it is
 generalised to its kind's name, and removed where it tells all of it.
 
-Support is a share of the kind's entities, so the terms that can pass are at most 2 * CONTEXT / LEAST_SHARE a kind,
-whatever the corpus; this bounds what is collected and sent to the workers. All counts are over all documents, added up
-per task before the shuffle.
+Support is a fixed number of occurrences, ``LEAST``, so that a term does not lose its spans as documents are added. All
+counts are over all documents, added up per task before the shuffle, and stay distributed tables. Terms are sent to the
+workers only where a count shows that they are few (``FEW_TERMS``); else they are joined to their occurrences.
 
 Defined results: a null text is empty; an empty text has no spans; rows that repeat a doc_id each get a row and count
 as often as they stand; other columns are ignored; an empty table gives an empty result and no terms.
@@ -16,7 +16,6 @@ as often as they stand; other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -26,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.common import Scratch
 from attesta.llm.spans import digest, ordered, over_texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity; share of the kind's information; least share and number of a kind's entities.
-CONTEXT, DISCLOSURE, LEAST_SHARE, LEAST = 5, 0.8, 0.01, 5
+#: Words on either side of an entity; share of the kind's information; least occurrences near a kind; terms that may be broadcast.
+CONTEXT, DISCLOSURE, LEAST, FEW_TERMS = 5, 0.8, 5, 100_000
 
 # The contracts' patterns. A run of digits is only tried from its start, as a later start in it cannot do better.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -112,8 +112,8 @@ def _counts(docs: DataFrame, make, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, term string, n bigint").groupBy("kind", "term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, least_share: float = LEAST_SHARE) -> dict[tuple[str, str], float]:
-    """Share of the kind's information that (kind, term) tells, for the terms at or above the threshold."""
+def scored_terms(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, few: int = FEW_TERMS) -> DataFrame:
+    """(kind, term, told): share of the kind's information that the term tells, for the terms at or above the threshold."""
 
     def contexts():
         def add(text: str, total: Counter) -> None:
@@ -123,32 +123,60 @@ def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         return add
 
-    near = _counts(docs, contexts, id_col, text_col).persist()
-    numbers = {r.kind: r.n for r in near.where("term = ''").collect()}
-    words = {r.kind: r.n for r in near.where("term <> ''").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    enough = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("n") >= max(LEAST, least_share * n)), True) for k, n in numbers.items()], F.lit(False))
-    able = {(r.kind, r.term): r.n for r in near.where("term <> ''").where(enough).collect()}  # bounded by the share
-    near.unpersist()
-    if not able:
-        return {}
-    wanted = frozenset(t for _, t in able)
+    near = scratch.keep(_counts(docs, contexts, id_col, text_col)).where("term <> ''")
+    words = near.groupBy("kind").agg(F.sum("n").alias("words"))
+    able = scratch.keep(near.where(F.col("n") >= LEAST))
+    terms = scratch.keep(able.select("term").distinct())
+    wanted = frozenset(r.term for r in terms.collect()) if terms.limit(few + 1).count() <= few else None
 
     def everywhere():
         def add(text: str, total: Counter) -> None:
             parts = _WORD.findall(text.lower())
             total["all", ""] += len(parts)
-            total.update(("term", w) for w in parts if w in wanted)
+            total.update(("term", w) for w in parts if wanted is None or w in wanted)
 
         return add
 
-    counted = {(r.kind, r.term): r.n for r in _counts(docs, everywhere, id_col, text_col).collect()}
-    out = {}
-    for (kind, term), n in able.items():
-        base = max(words[kind] / counted["all", ""], 1e-12)
-        told = math.log2(max(n / counted["term", term], 1e-12) / base) / -math.log2(base) if base < 1 else 0.0
-        if told >= disclosure:
-            out[kind, term] = told
-    return out
+    counted = scratch.keep(_counts(docs, everywhere, id_col, text_col))
+    everything = counted.where("kind = 'all'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    base = F.greatest(F.col("words") / F.lit(max(everything, 1)), F.lit(1e-12))
+    told = F.when(base < 1, F.log2(F.greatest(F.col("n") / F.col("everywhere"), F.lit(1e-12)) / base) / -F.log2(base)).otherwise(0.0)
+    scored = able.join(F.broadcast(words), "kind").join(counted.where("kind = 'term'").select("term", F.col("n").alias("everywhere")), "term")
+    return scratch.keep(scored.select("kind", "term", told.alias("told")).where(F.col("told") >= disclosure))
+
+
+def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> dict[tuple[str, str], float]:
+    """The rows of :func:`scored_terms` on the driver, to look at."""
+    scored = scored_terms(docs, Scratch(docs.sparkSession), id_col=id_col, text_col=text_col, disclosure=disclosure)
+    return {(r.kind, r.term): r.told for r in scored.collect()}
+
+
+def _with_terms(docs: DataFrame, row, fields: list, id_col: str, text_col: str, few: int) -> DataFrame:
+    """doc_id and the ``fields`` of ``row(text, terms)``, where ``terms`` has all disclosing terms that stand in the text."""
+    scratch = Scratch(docs.sparkSession)
+    scored = scored_terms(docs, scratch, id_col=id_col, text_col=text_col, few=few)
+    if scored.limit(few + 1).count() <= few:
+        terms = {(r.kind, r.term): r.told for r in scored.collect()}
+        return over_texts(docs, lambda: lambda text: row(text, terms), fields, id_col=id_col, text_col=text_col)
+    # Numbered and written, as the numbers of a second run may be others.
+    texts = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+
+    def places(text: str) -> tuple:
+        return ([{"kind": k, "term": w} for k, w in {(k, w) for k, _, _, w in context_words(text, entities(text))}],)
+
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("term", pa.string())]))
+    pairs = over_texts(texts, lambda: places, [("p", "array<struct<kind:string,term:string>>", kind)], id_col="row").select(F.col("doc_id").alias("row"), F.inline("p"))
+    held = pairs.join(scored, ["kind", "term"]).groupBy("row").agg(F.collect_list(F.struct("kind", "term", "told")).alias("terms"))
+    both = texts.join(held, "row", "left").select("doc_id", "text", "terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                rows = [row(t or "", {(x["kind"], x["term"]): x["told"] for x in found or ()}) for t, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f[2]) for c, f in zip(zip(*rows, strict=True), fields, strict=True))], ["doc_id", *(f[0] for f in fields)])
+
+    return both.mapInArrow(run, ", ".join([f"doc_id {both.schema['doc_id'].dataType.simpleString()}", *(f"{name} {kind}" for name, kind, _ in fields)]))
 
 
 def find_spans(text: str, terms: dict[tuple[str, str], float]) -> tuple[list, list]:
@@ -173,20 +201,18 @@ def sanitise_text(text: str, terms: dict[tuple[str, str], float]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few: int = FEW_TERMS) -> DataFrame:
     """doc_id and the sanitised text."""
-    terms = disclosing_terms(docs, id_col=id_col, text_col=text_col)
-    return over_texts(docs, lambda: lambda text: (sanitise_text(text, terms),), [("text", "string", pa.string())], id_col=id_col, text_col=text_col)
+    return _with_terms(docs, lambda text, terms: (sanitise_text(text, terms),), [("text", "string", pa.string())], id_col, text_col, few)
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few: int = FEW_TERMS) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and all spans as text."""
-    terms = disclosing_terms(docs, id_col=id_col, text_col=text_col)
 
-    def row(text: str) -> tuple:
+    def row(text: str, terms: dict[tuple[str, str], float]) -> tuple:
         base, extra = find_spans(text, terms)
         n = Counter(k for _, _, k in base)
         return *(n[k] for k in KINDS[:4]), digest(ordered(base, KINDS)), ordered(base + extra, KINDS)
 
     fields = [(f"n_{k}", "bigint", pa.int64()) for k in KINDS[:4]] + [(c, "string", pa.string()) for c in ("base_sha256", "spans")]
-    return over_texts(docs, lambda: row, fields, id_col=id_col, text_col=text_col)
+    return _with_terms(docs, row, fields, id_col, text_col, few)

@@ -178,6 +178,16 @@ def test_disclosing_terms(spark):
     assert all(("term:" in r.spans) == (r.doc_id % 5 == 0) for r in pii.scan(df).collect())
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_support_does_not_grow(spark, few):
+    """A term beside six of 1200 addresses has its spans, whether terms are sent to the tasks or joined."""
+    rows = [(i, "ra re ri ro ru ta te ti to tu " * 6 + (f"only{i // 6} " if i < 60 else "") + f"u{i}@x.org " + "la le li lo lu " * 6) for i in range(1200)] + [(3, None), (None, "only1 u@x.org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pii.scan(df, few=few).collect()
+    assert len(got) == len(rows)
+    assert all(("term:" in r.spans) == (r.doc_id is None or r.doc_id < 60 and r.n_email == 1) for r in got)
+
+
 def test_grammar():
     rng = random.Random(3)
     values = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(300)]
