@@ -5,7 +5,7 @@ distinct values of least hash) is made into a prefix tree over character classes
 are merged in red-blue order with Hoeffding tests on their stopping and leaving frequencies, which gives a probabilistic
 automaton of the credentials' formats. Every candidate of every text (a run of 20 characters or more with letters and
 digits, outside the base spans) is scored by its log-likelihood per character, against a class-bigram model of ordinary
-words from the same number of sampled rows. A candidate as likely as all but ``TAIL`` of the labelled values, and
+words, counted over all rows. A candidate as likely as all but ``TAIL`` of the labelled values, and
 likelier than an ordinary word, is a span of kind ``format``.
 
 Defined results: a null text is empty; an empty text has no spans; without labelled values there is no automaton and
@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from attesta.llm.spans import digest, ordered, over_texts
 
 KINDS = ("assign", "access", "hex", "format")
-#: Labelled values and rows of ordinary text for the fit; confidence of the merge tests; share of labelled values below the cut.
-SAMPLE, ROWS, ALPHA, TAIL = 1000, 300, 0.05, 0.02
+#: Labelled values for the fit; confidence of the merge tests; share of labelled values below the cut.
+SAMPLE, ALPHA, TAIL = 1000, 0.05, 0.02
 
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -36,6 +38,7 @@ _HEX = re.compile("(?<![0-9a-f])[0-9a-f]{24,}+")
 _LONG = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
 _MIXED = re.compile("(?=.*[0-9]).*[A-Za-z]")
 _CLASSES = (("0", "0123456789"), ("a", "abcdef"), ("g", "ghijklmnopqrstuvwxyz"), ("A", "ABCDEF"), ("G", "GHIJKLMNOPQRSTUVWXYZ"))
+_WORD = re.compile("[A-Za-z0-9+/_=-]{4,}")
 _CLASS = {ord(c): name for name, letters in _CLASSES for c in letters}
 _WITHIN = {name: math.log2(len(letters)) for name, letters in _CLASSES}
 
@@ -133,14 +136,33 @@ class Grammar:
         return (total + math.log2((n[self.END] + 0.5) / (n.total() + 1))) / max(1, len(value))
 
 
+def class_pairs(words) -> Counter:
+    """How often the words have each two classes in a row, ``^`` standing before a word."""
+    t = "^".join(["", *words]).translate(_CLASS)
+    return Counter({k: n for k, n in Counter(map(add, t, t[1:])).items() if k[1] != "^"})
+
+
+def ordinary_pairs(docs: DataFrame, *, text_col: str = "text") -> Counter:
+    """Class bigrams over the distinct words of each row, of all rows; a table of at most 110 cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                total.update(class_pairs(dict.fromkeys(_WORD.findall(text.as_py() or ""))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["pair", "n"])
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return Counter({r.pair: r.n for r in counted.collect()})
+
+
 class Scorer:
-    def __init__(self, values: list[str], words: list[str]):
+    def __init__(self, values: list[str], words: list[str], pairs: Counter | None = None):
+        """``pairs``: numbers of class bigrams (two characters) that were counted elsewhere, besides those of ``words``."""
         self.grammar = Grammar(values) if values else None
         self.pairs: dict[str, Counter] = defaultdict(Counter)
-        for w in words:
-            t = w.translate(_CLASS)
-            for a, b in zip("^" + t, t, strict=False):
-                self.pairs[a][b] += 1
+        for (a, b), n in (class_pairs(words) + (pairs or Counter())).items():
+            self.pairs[a][b] += n
         scores = sorted(self.grammar.score(v) for v in values) if values else []
         self.least = scores[int(len(scores) * TAIL)] if scores else math.inf
 
@@ -163,15 +185,11 @@ class Scorer:
         return out
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, rows: int = ROWS) -> Scorer:
-    """A scorer from at most ``sample`` labelled values and the words of at most ``rows`` rows, both of least hash."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
+    """A scorer from at most ``sample`` labelled values of least hash and the words of all rows."""
     values = over_texts(docs, lambda: lambda text: (labelled_values(text),), [("values", "array<string>", pa.list_(pa.string()))], id_col=id_col, text_col=text_col)
     values = values.select(F.explode("values").alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(sample)
-    # The rows are chosen by id alone; only the chosen rows' texts move.
-    chosen = F.broadcast(docs.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct())
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id", "left_semi")
-    words = plain.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9+/_=-]{4,}"), 0))).alias("w")).where("w IS NOT NULL")
-    return Scorer(sorted(r.v for r in values.collect()), sorted(r.w for r in words.collect()))
+    return Scorer(sorted(r.v for r in values.collect()), [], ordinary_pairs(docs, text_col=text_col))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -188,6 +188,14 @@ def test_support_does_not_grow(spark, few):
     assert all(("term:" in r.spans) == (r.doc_id is None or r.doc_id < 60 and r.n_email == 1) for r in got)
 
 
+def test_ordinary_words_of_all_rows(spark):
+    rows = [(None if i % 2 else i, "wordone wordtwo wordone " + "x" * (i % 5)) for i in range(1000)]
+    got = secrets.ordinary_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = sum((secrets.class_pairs(set(re.findall("[a-z]{4,}", t))) for _, t in rows), Counter())
+    assert got == want and got["^g"] == 2200
+    assert secrets.fit(spark.createDataFrame(rows, "doc_id long, text string")).pairs["^"]["g"] == 2200
+
+
 def test_grammar():
     rng = random.Random(3)
     values = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(300)]
