@@ -189,6 +189,17 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     return _apply(docs, path, id_col, text_col, "n_tokens bigint, ids array<int>", row)
 
 
+def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids, and the SHA-256 of the text decoded from them, in one pass."""
+
+    def row(codec: Codec, text: str):
+        ids = codec.encode(text)
+        numbers = array("I", ids)
+        return len(numbers), numbers.tolist(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+
+    return _apply(docs, path, id_col, text_col, "n_tokens bigint, ids array<int>, decoded_sha256 string", row)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text, from the rows of :func:`encode`; a null list of ids decodes to an empty text."""
     labels = encoded.sparkSession.sparkContext.broadcast(Automaton.load(path).labels)

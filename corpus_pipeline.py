@@ -1,7 +1,8 @@
 """Corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
 
-Quality classifier, exact dedup, SimHash near-dedup, benchmark decontamination, BPE encoding. Each stage works on all
-that its predecessor kept. All but the last return the columns of documents; the last returns doc_id, n_tokens, ids.
+Quality classifier, exact dedup, SimHash near-dedup, benchmark decontamination, BPE encoding and decoding. Each stage works on all
+that its predecessor kept. All but the last return the columns of documents; the last returns doc_id, n_tokens, ids and
+decoded_sha256, the digest of the text decoded from the ids.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

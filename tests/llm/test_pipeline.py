@@ -1,3 +1,5 @@
+import hashlib
+
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -34,6 +36,14 @@ def test_stages(spark):
     assert sorted(got) == sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect())
 
 
+def test_last_stage_decodes(spark):
+    docs = spark.createDataFrame([(1, "The Cat sat, twice."), (2, None), (3, "ré ß 12")], "doc_id long, text string")
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in corpus_pipeline.bpe_stage(spark, docs, SF).collect():
+        text = " ".join(map(library.id_to_token, r.ids))
+        assert r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
