@@ -67,7 +67,7 @@ class Forest:
     """BK-trees of many shards. ``shard`` is sorted; fingerprints (rows of 64-bit words) within a shard are distinct."""
 
     def __init__(self, shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS):
-        self.fps, self.radius, n = fps.reshape(len(shard), -1), radius, len(shard)
+        self.fps, self.radius, n = fps.reshape(-1, 1) if fps.ndim == 1 else fps, radius, len(shard)
         edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if n else np.zeros(0, np.int64)
         self.size = np.repeat(np.diff(np.r_[edge, n]), np.diff(np.r_[edge, n]))
         self.root = np.repeat(edge, np.diff(np.r_[edge, n]))
@@ -243,16 +243,22 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     dealt = shards(classes.select("fp"), shard_rows)
     stars = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars(RADIUS, 1), "u bigint, v bigint")
     return _settle(prints, classes, stars, scratch)
-def wide_fingerprint(text: bytes, words: int = WIDE_WORDS) -> bytes:
-    """128 majority bits over a text's distinct shingles, so that the share of equal bits follows their Jaccard index."""
+
+
+def wide_shingles(text: bytes, words: int = WIDE_WORDS) -> np.ndarray:
+    """The 128-bit hashes of a text's distinct shingles, a row of 16 bytes each."""
     parts = text.lower().split()
     if not parts:
-        return bytes(16)
+        return np.zeros((0, 16), np.uint8)
     shingles = {b" ".join(s) for s in zip(*(parts[i:] for i in range(words)), strict=False)} or {b" ".join(parts)}
-    counts, digests = np.zeros(128, np.int64), [xxhash.xxh128_digest(s, 42) for s in sorted(shingles)]
+    return np.frombuffer(b"".join([xxhash.xxh128_digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 16)
+
+
+def wide_fingerprint(digests: np.ndarray) -> bytes:
+    """128 majority bits over a text's distinct shingles, so that the share of equal bits follows their Jaccard index."""
+    counts = np.zeros(128, np.int64)
     for start in range(0, len(digests), 1 << 15):
-        part = np.frombuffer(b"".join(digests[start : start + (1 << 15)]), np.uint8)
-        counts += np.unpackbits(part).reshape(-1, 128).sum(0, np.int64)
+        counts += np.unpackbits(digests[start : start + (1 << 15)]).reshape(-1, 128).sum(0, np.int64)
     return np.packbits(counts * 2 > len(digests)).tobytes()
 
 
@@ -268,22 +274,164 @@ def sampled_keys(n: int) -> list[list[int]]:
     return [sorted(rng.choice(128, bits, replace=False).tolist()) for _ in range(tables)]
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard index of two sorted sets is 0.8 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def _parity(hashes: np.ndarray) -> bytes:
+    """1024 bits, each the parity of the hashes that fall on it: two maps differ in at most as many bits as the sets do."""
+    return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) & 1023, minlength=1024) & 1).astype(np.uint8)).tobytes()
+
+
+def _verified(links: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The ``links (u, v)`` of sets with a Jaccard index of 0.8 or more. ``sets (id, hashes)`` may repeat an id."""
+    links = scratch.keep(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    ends = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
+    held = scratch.keep(sets.join(checked_broadcast(scratch.keep(ends)), "id", "left_semi").dropDuplicates(["id"]))
+    pairs = links.join(held.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u")
+    pairs = pairs.join(held.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [_similar(np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return scratch.keep(pairs.mapInArrow(run, "u bigint, v bigint"))
+
+
+def _place_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall on each of 2**16 places; common shingles stand out at any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, (np.frombuffer(x.as_py(), "<u8") & np.uint64(0xFFFF)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << 16)), pa.array(total)], ["place", "n"])
+
+    counted = sets.select("hashes").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << 16, np.int64)
+    out[counted["place"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def _runs(make):
+    """A function over batches sorted by their first column: ``make`` gets columns of whole runs and gives pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            token = table.column(0).to_numpy()
+            n = int(np.searchsorted(token, token[-1])) if len(token) else 0
+            if n:
+                yield from make(table.slice(0, n))
+            rest = table.slice(n)
+        if rest is not None and len(rest):
+            yield from make(rest)
+
+    return run
+
+
+def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(token, id) of the tokens with more than one id."""
+    token, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
+    new = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])]
+    token, ids = token[new], ids[new]
+    same = np.r_[False, token[1:] == token[:-1], False]
+    many = same[1:] | same[:-1]
+    yield pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(ids[many])], ["token", "id"])
+
+
+def _across(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(u, v) of each token's ids in different groups whose sizes and parities allow an index of 0.8."""
+    token, ids, group, size = (table.column(i).to_numpy() for i in range(4))
+    bits = np.frombuffer(b"".join(table.column(4).to_pylist()), "<u8").reshape(-1, 16)
+    edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+    us, vs, held = [], [], 0
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        g = group[lo:hi]
+        if (g == g[0]).all():
+            continue
+        names, place, count = np.unique(g, return_inverse=True, return_counts=True)
+        # Each pair of two groups has an end outside the largest; of two such ends the earlier one looks for the other.
+        rank = np.where(place == count.argmax(), hi - lo, np.arange(hi - lo))
+        for i in np.flatnonzero(rank < hi - lo).tolist():
+            j = lo + np.flatnonzero((rank > i) & (g != g[i]) & (5 * np.minimum(size[lo:hi], size[lo + i]) >= 4 * np.maximum(size[lo:hi], size[lo + i])))
+            j = j[9 * np.bitwise_count(bits[j] ^ bits[lo + i]).sum(1, np.int64) <= size[j] + size[lo + i]]
+            if len(j):
+                us.append(np.full(len(j), ids[lo + i]))
+                vs.append(ids[j])
+                held += len(j)
+            if held > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                us, vs, held = [], [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+
+def _prefix_links(sets: DataFrame, info: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidates (u, v) of different groups, with every pair of index 0.8 or more among them.
+
+    Such a pair shares a shingle among the first n - ceil(0.8 n) + 1 of each, in any one order of all shingles. Common
+    shingles come last in it, so that a passage of many texts brings no pairs.
+    """
+    spark = sets.sparkSession
+    common = spark.sparkContext.broadcast(_place_counts(sets))  # 2**16 numbers
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, seen = common.value, set()
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                part, tokens, owners = batch.slice(start, 500), [], []
+                for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    if i in seen:
+                        continue
+                    seen.add(i)
+                    h = np.frombuffer(x.as_py(), "<u8")
+                    if n := len(h):
+                        first = np.lexsort((h, count[(h & np.uint64(0xFFFF)).astype(np.int64)]))[: n - (4 * n + 4) // 5 + 1]
+                        tokens.append(h[first].view(np.int64))
+                        owners.append(np.full(len(first), i, np.int64))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], ["token", "id"])
+
+    tokens = sets.select("id", "hashes").mapInArrow(run, "token bigint, id bigint")
+    shared = scratch.keep(tokens.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(_runs(_shared), "token bigint, id bigint"))
+    known = shared.join(info.select("id", "grp", "n", "bits"), "id").select("token", "id", "grp", "n", "bits")
+    return known.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(_runs(_across), "u bigint, v bigint")
+
+
 def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, scratch: Scratch | None = None) -> DataFrame:
-    """One row per document: doc_id, fp, component_id, for texts of a shingle similarity of about 0.8 or more.
+    """One row per document: doc_id, fp (of its shingle set), component_id, for texts of a Jaccard index of 0.8 or more over their shingles.
 
-    Such texts differ in up to ``radius`` of 128 bits, too many for bands that must agree. Shards are then keyed by
-    sampled bits in several tables; trees, stars and components are as in :func:`near_groups`.
+    Such texts mostly differ in up to ``radius`` of 128 bits, too many for bands that must agree. Shards are then keyed
+    by sampled bits in several tables; trees and stars are as in :func:`near_groups`. The stars are candidates only:
+    each link is held against the exact index of the shingle sets (64-bit hashes of distinct shingles). Pairs that the
+    stars miss are found by a prefix filter, which loses none, between the groups linked so far, and verified alike.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
-    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t or b"", words) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
-
-    prints = scratch.keep(base.mapInArrow(prints_of, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fp binary"))
-    classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    tables = sampled_keys(classes.count())
+            for start in range(0, len(batch), 256):
+                part, rows = batch.slice(start, 256), []
+                for t in part.column(1).to_pylist():
+                    digests = wide_shingles(t or b"", words)
+                    h = np.unique(np.ascontiguousarray(digests[:, :8]).view("<u8").ravel())
+                    rows.append((xxhash.xxh64_intdigest(h.tobytes(), 42), wide_fingerprint(digests), len(h), _parity(h), h.tobytes()))
+                ids, fps, sizes, bits, hashes = zip(*rows, strict=True)
+                columns = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(hashes, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "id", "fp", "n", "bits", "hashes"])
+
+    sets = scratch.keep(base.mapInArrow(sets_of, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, id bigint, fp binary, n bigint, bits binary, hashes binary"))
+    classes = scratch.keep(sets.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("fp", "n", "bits")]))
+    prints = scratch.keep(classes.groupBy("fp").agg(F.min("id").alias("least")))
+    tables = sampled_keys(prints.count())
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, power = np.array(tables), 1 << np.arange(len(tables[0]), dtype=np.int64)
@@ -294,10 +442,17 @@ def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 key = np.stack([bits[:, p] @ power for p in places], 1) + (np.arange(len(places)) << 40)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array([f for f in fps for _ in places], pa.binary())], ["shard", "fp"])
 
-    dealt = classes.select("fp").mapInArrow(keys_of, "shard bigint, fp binary")
+    dealt = prints.select("fp").mapInArrow(keys_of, "shard bigint, fp binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stars = dealt.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars(radius, 2), "u binary, v binary")
-    return _settle(prints, classes, stars, scratch)
+    stars = dealt.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars(radius, 2), "u binary, v binary").distinct()
+    stars = stars.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    stars = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(classes.join(prints, "fp").select(F.col("id").alias("u"), F.col("least").alias("v")))
+    near = _verified(stars, sets, scratch)
+    found = components(near, scratch).withColumnRenamed("u", "id")
+    info = scratch.keep(classes.join(found, "id", "left").select("id", "n", "bits", F.coalesce("root", "id").alias("grp")))
+    near = near.unionByName(_verified(_prefix_links(sets, info, scratch), sets, scratch))
+    ids = sets.select("doc_id", F.col("id").alias("fp"))
+    return _settle(ids, classes.select(F.col("id").alias("fp"), "first"), near, scratch)
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups=wide_groups) -> DataFrame:

@@ -168,6 +168,29 @@ def test_wide_groups(spark, docs, rows, empty):
     assert simhash.wide_groups(empty).count() == 0
 
 
+def test_wide_links_are_of_similar_texts(spark):
+    """Groups are the components of the pairs of index 0.8 or more: a shared passage links nothing, and no pair is missed."""
+    rng = np.random.default_rng(9)
+    passage, texts = [f"p{k}" for k in range(150)], []
+    texts += [passage + [f"d{g}w{k}" for k in range(50)] for g in range(150)]
+    for g in range(40):
+        words = [f"g{g}w{k}" for k in range(60 + g)]
+        texts.append(words)
+        for k in range(1, 6):
+            at = set(rng.choice(len(words), k, replace=False).tolist())
+            texts.append([f"c{g}n{k}" if i in at else w for i, w in enumerate(words)])
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    up = list(range(len(texts)))
+    for i, a in enumerate(shingles):
+        for j, b in enumerate(shingles[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for radius in (0, simhash.WIDE_RADIUS):  # with a radius of 0 the prefix filter finds all links
+        got = {r.doc_id: r.component_id for r in simhash.wide_groups(df, radius=radius).collect()}
+        assert got == dict(enumerate(up))
+
+
 def test_dense_group_without_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, (1, 2), dtype=np.uint64)
