@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from attesta.session import ship
 
-#: Rows up to which a side may be broadcast after it has been counted; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a side may be broadcast after both have been counted; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 #: ``[\\x20\\x09-\\x0D]``, the white space of the contracts.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -20,9 +20,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where the session has none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session has none, one is set for a local master, whose only machine is the driver's; a cluster without it
+    is an error, as a folder of the driver would be no use there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file:///tmp/checkpoints/attesta-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -61,12 +68,29 @@ class Scratch:
             pass
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is, so that the join shuffles.
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows and ``most`` bytes, else as it is, so that the join shuffles.
 
     The count stops at the limit. ``df`` should be cheap to read (a scratch table).
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    wide = [c for c, kind in df.dtypes if kind.startswith(("string", "binary", "array", "struct", "map"))]
+    width = F.lit(8 * (len(df.columns) - len(wide)) + 16)
+    for c in wide:
+        value = F.col(f"`{c}`")
+        width = width + F.coalesce(F.octet_length(value if df.schema[c].dataType.simpleString() in ("string", "binary") else F.to_json(F.struct(value))), F.lit(0))
+    n, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and size <= most else df
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(col):

@@ -20,6 +20,7 @@ ignored by :func:`near_groups`; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,9 @@ from attesta.llm.common import Scratch, checked_broadcast
 
 #: Words of a shingle; bits that may differ; fingerprints of a shard before it is split; tree visits held at once.
 WORDS, RADIUS, SHARD_ROWS, VISITS = 3, 3, 100_000, 2_000_000
-#: The wide form: words of a shingle; bits of 128 that may differ; share of bits in which texts of Jaccard index 0.8 agree
-#: (their cosine is 2J / (1 + J) = 0.889, an angle of 27.3 degrees); part of such pairs that meet in a shard.
-WIDE_WORDS, WIDE_RADIUS, AGREE, WIDE_RECALL = 5, 26, 0.848, 0.98
+#: The wide form: words of a shingle; bits of 128 that may differ; tables of sampled bits, as many at every size; rows
+#: of a token up to which its pairs are formed without a look at their parities.
+WIDE_WORDS, WIDE_RADIUS, WIDE_TABLES, FEW = 5, 26, 12, 32
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -198,39 +199,42 @@ def shards(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, root): for each node of ``edges (u, v)`` but the roots, the smallest node connected with it."""
+    """(u, root): for each node of ``edges (u, v)`` but the roots, the smallest node connected with it.
 
-    def smallest(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m"))
+    Least neighbours are written before they are joined back: both sides of each join are then plain tables, and Spark
+    can split the rows of a node with very many neighbours. The rounds end when all edges lead to nodes that have none.
+    """
+
+    def least(e: DataFrame) -> DataFrame:
+        return scratch.keep(e.groupBy("u").agg(F.min("v").alias("m")))
 
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def several(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
 
     down = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    before = state(down)
-    while True:
-        both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    while not down.join(down.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or not several(down).isEmpty():
+        # Large star: each node hands its larger neighbours to its least one. An edge is seen from its smaller end.
+        near = least(down.select(F.col("v").alias("u"), "v").unionByName(down))
+        large = down.join(near.withColumnRenamed("u", "v"), "v").select("u", F.least("v", "m").alias("v"))
         large = scratch.keep(large.distinct())
-        joined = large.join(smallest(large), "u")
-        small = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
-        old, down = down, scratch.keep(small.distinct())
-        scratch.drop(old)
-        scratch.drop(large)
-        after = state(down)
-        if after == before:
-            return down.select("u", F.col("v").alias("root"))
-        before = after
+        # Small star: each node hands its smaller neighbours, and itself, to its least one.
+        small = least(large)
+        joined = large.join(small, "u")
+        moved = small.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        old, down = down, scratch.keep(moved.distinct())
+        for done in (old, near, large, small):
+            scratch.drop(done)
+    return down.select("u", F.col("v").alias("root"))
 
 
 def _settle(prints: DataFrame, classes: DataFrame, stars: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, fp, component_id from fingerprints (doc_id, fp), their classes (fp, first) and the links."""
     found = components(stars, scratch)
     found = found.unionByName(found.select(F.col("root").alias("u"), "root").distinct())
-    linked = classes.join(found.withColumnRenamed("u", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    linked = scratch.keep(classes.join(found.withColumnRenamed("u", "fp"), "fp").select("fp", "first", "root"))
+    # Written, so that the joins deal plain tables and Spark can split the rows of a common root or fingerprint.
+    least = scratch.keep(linked.groupBy("root").agg(F.min("first").alias("least")))
     linked = linked.join(least, "root").select("fp", "least")
-    # Written, so that the last join deals two plain tables and Spark can split the rows of a common fingerprint.
     known = scratch.keep(classes.join(linked, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")))
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
@@ -245,31 +249,78 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return _settle(prints, classes, stars, scratch)
 
 
-def wide_shingles(text: bytes, words: int = WIDE_WORDS) -> np.ndarray:
-    """The 128-bit hashes of a text's distinct shingles, a row of 16 bytes each."""
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros((0, 16), np.uint8)
-    shingles = {b" ".join(s) for s in zip(*(parts[i:] for i in range(words)), strict=False)} or {b" ".join(parts)}
-    return np.frombuffer(b"".join([xxhash.xxh128_digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 16)
-
-
-def wide_fingerprint(digests: np.ndarray) -> bytes:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all."""
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
+class WordHasher:
+    """64-bit hashes of the words of a text, all at once: sums over a word of its bytes' numbers times powers of a base."""
+
+    BASE, CHUNK = 0x9E3779B97F4A7C15, 1 << 20
+    _SPACE = re.compile(rb"[ \t-\r]")
+
+    def __init__(self):
+        rng = np.random.default_rng(42)
+        self.numbers = rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False) | np.uint64(1)
+        self.space = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+        self._powers(1 << 12)
+
+    def _powers(self, n: int) -> None:
+        back = pow(self.BASE, -1, 1 << 64)
+        self.powers, self.inverse = (np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (self.BASE, back))
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        text, at, out = text.lower(), 0, []
+        while at < len(text):
+            cut = self._SPACE.search(text, at + self.CHUNK) if len(text) > at + self.CHUNK else None
+            end = cut.start() if cut else len(text)
+            out.append(self._words(np.frombuffer(text, np.uint8, end - at, at)))
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def _words(self, data: np.ndarray) -> np.ndarray:
+        if len(data) >= len(self.powers):
+            self._powers(2 * len(data))
+        blank = np.r_[True, self.space[data], True]
+        start, end = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+        total = np.r_[np.uint64(0), np.cumsum(self.numbers[data] * self.powers[: len(data)])]
+        return _mixed((total[end] - total[start]) * self.inverse[start])
+
+
+def wide_shingles(text: bytes, words: int = WIDE_WORDS, hasher: WordHasher | None = None) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct shingles, each of the hashes of its words in their order."""
+    h = (hasher or WordHasher())(text)
+    if not len(h):
+        return h
+    width = min(words, len(h))
+    total = np.zeros(len(h) - width + 1, np.uint64)
+    for i in range(width):
+        total += h[i : len(h) - width + 1 + i] * np.uint64(WordHasher.BASE * (2 * i + 1) % (1 << 64))
+        total = (total << np.uint64(23)) | (total >> np.uint64(41))
+    total = np.sort(_mixed(total))
+    return total[np.r_[True, total[1:] != total[:-1]]]
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
     """128 majority bits over a text's distinct shingles, so that the share of equal bits follows their Jaccard index."""
     counts = np.zeros(128, np.int64)
-    for start in range(0, len(digests), 1 << 15):
-        counts += np.unpackbits(digests[start : start + (1 << 15)]).reshape(-1, 128).sum(0, np.int64)
-    return np.packbits(counts * 2 > len(digests)).tobytes()
+    for start in range(0, len(hashes), 1 << 15):
+        h = hashes[start : start + (1 << 15)]
+        both = np.stack([h, _mixed(h ^ np.uint64(0x5851F42D4C957F2D))], 1)
+        counts += np.unpackbits(both.view(np.uint8), axis=1).sum(0, np.int64)
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
-def sampled_keys(n: int) -> list[list[int]]:
-    """Bit places of each table, for ``n`` fingerprints: keys grow with log2(n), tables so that ``WIDE_RECALL`` holds.
+def sampled_keys(n: int, tables: int = WIDE_TABLES) -> list[list[int]]:
+    """Bit places of each table, for ``n`` fingerprints. Keys grow with log2(n), so that shards do not; tables do not grow.
 
-    A pair of Jaccard index 0.8 agrees in a bit with probability ``AGREE``, and meets in at least one table with
-    probability ``WIDE_RECALL``.
+    Texts that differ in a few words agree in most tables; pairs near the threshold meet in few, and those that meet in
+    none are left to the prefix filter.
     """
     bits = max(16, math.ceil(math.log2(max(2, n))) - 6)
-    tables = math.ceil(math.log(1 - WIDE_RECALL) / math.log(1 - AGREE**bits))
     rng = np.random.default_rng(42)
     return [sorted(rng.choice(128, bits, replace=False).tolist()) for _ in range(tables)]
 
@@ -336,19 +387,44 @@ def _runs(make):
 
 
 def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(token, id) of the tokens with more than one id."""
+    """(token, id, many) of the tokens with more than one id; ``many`` if they are more than ``FEW``."""
     token, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
     new = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])]
     token, ids = token[new], ids[new]
-    same = np.r_[False, token[1:] == token[:-1], False]
-    many = same[1:] | same[:-1]
-    yield pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(ids[many])], ["token", "id"])
+    edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+    size = np.repeat(np.diff(edge), np.diff(edge))
+    some = size > 1
+    yield pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(ids[some]), pa.array(size[some] > FEW)], ["token", "id", "many"])
+
+
+def _pairs_of_few(token: np.ndarray, ids: np.ndarray, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a token's ids in different groups whose sizes allow an index of 0.8; at most ``FEW`` ids a token."""
+    order = np.lexsort((size, token))
+    token, ids, group, size = token[order], ids[order], group[order], size[order]
+    found, at = [], np.arange(len(token))
+    for step in range(1, FEW):
+        at = at[at + step < len(token)]
+        # Sizes ascend within a token: once one is too large for a row, all behind it are.
+        at = at[(token[at] == token[at + step]) & (5 * size[at] >= 4 * size[at + step])]
+        if not len(at):
+            break
+        here = at[group[at] != group[at + step]]
+        a, b = ids[here], ids[here + step]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _across(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(u, v) of each token's ids in different groups whose sizes and parities allow an index of 0.8."""
+    """(u, v) of each token's ids in different groups whose sizes allow an index of 0.8, and parities if they are many."""
     token, ids, group, size = (table.column(i).to_numpy() for i in range(4))
-    bits = np.frombuffer(b"".join(table.column(4).to_pylist()), "<u8").reshape(-1, 16)
+    many = table.column(4).is_valid().to_numpy()
+    u, v = _pairs_of_few(token[~many], ids[~many], group[~many], size[~many])
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    if not many.any():
+        return
+    token, ids, group, size = (x[many] for x in (token, ids, group, size))
+    bits = np.frombuffer(b"".join(table.column(4).drop_null().to_pylist()), "<u8").reshape(-1, 16)
     edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
     us, vs, held = [], [], 0
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -360,7 +436,7 @@ def _across(table: pa.Table) -> Iterator[pa.RecordBatch]:
         rank = np.where(place == count.argmax(), hi - lo, np.arange(hi - lo))
         for i in np.flatnonzero(rank < hi - lo).tolist():
             j = lo + np.flatnonzero((rank > i) & (g != g[i]) & (5 * np.minimum(size[lo:hi], size[lo + i]) >= 4 * np.maximum(size[lo:hi], size[lo + i])))
-            j = j[9 * np.bitwise_count(bits[j] ^ bits[lo + i]).sum(1, np.int64) <= size[j] + size[lo + i]]
+            j = j[_may_match(bits[j], bits[lo + i], size[j], size[lo + i])]
             if len(j):
                 us.append(np.full(len(j), ids[lo + i]))
                 vs.append(ids[j])
@@ -372,6 +448,26 @@ def _across(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
+def _may_match(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether parities allow an index of 0.8: then at most a ninth of both sizes is in one set alone."""
+    return 9 * np.bitwise_count(a ^ b).sum(1, np.int64) <= n + m
+
+
+def _pruned(links: DataFrame, info: DataFrame, scratch: Scratch) -> DataFrame:
+    """The distinct ``links (u, v)`` whose sizes and parities allow an index of 0.8."""
+    side = lambda name: info.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    pairs = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    pairs = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, 16) for i in (4, 5))
+            yield batch.select(["u", "v"]).filter(pa.array((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & _may_match(a, b, n, m)))
+
+    return scratch.keep(pairs.mapInArrow(run, "u bigint, v bigint"))
+
+
 def _prefix_links(sets: DataFrame, info: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidates (u, v) of different groups, with every pair of index 0.8 or more among them.
 
@@ -400,30 +496,33 @@ def _prefix_links(sets: DataFrame, info: DataFrame, scratch: Scratch) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], ["token", "id"])
 
     tokens = sets.select("id", "hashes").mapInArrow(run, "token bigint, id bigint")
-    shared = scratch.keep(tokens.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(_runs(_shared), "token bigint, id bigint"))
-    known = shared.join(info.select("id", "grp", "n", "bits"), "id").select("token", "id", "grp", "n", "bits")
-    return known.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(_runs(_across), "u bigint, v bigint")
+    shared = scratch.keep(tokens.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(_runs(_shared), "token bigint, id bigint, many boolean"))
+    # Parities travel only with tokens of many texts; the others' few pairs get them once, afterwards.
+    known = shared.join(info.select("id", "grp", "n", "bits"), "id").select("token", "id", "grp", "n", F.when(F.col("many"), F.col("bits")).alias("bits"))
+    pairs = known.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(_runs(_across), "u bigint, v bigint")
+    return _pruned(pairs, info, scratch)
 
 
 def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, fp (of its shingle set), component_id, for texts of a Jaccard index of 0.8 or more over their shingles.
 
     Such texts mostly differ in up to ``radius`` of 128 bits, too many for bands that must agree. Shards are then keyed
-    by sampled bits in several tables; trees and stars are as in :func:`near_groups`. The stars are candidates only:
-    each link is held against the exact index of the shingle sets (64-bit hashes of distinct shingles). Pairs that the
-    stars miss are found by a prefix filter, which loses none, between the groups linked so far, and verified alike.
+    by sampled bits in a fixed number of tables; trees and stars are as in :func:`near_groups`. The stars are candidates
+    only: each link is held against the exact index of the shingle sets (64-bit hashes of distinct shingles). Pairs that
+    the stars miss are found by a prefix filter, which loses none, between the groups linked so far, and verified alike.
+    So keys and tokens of a text do not grow with the number of texts, and no document goes that has no partner at 0.8.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part, rows = batch.slice(start, 256), []
                 for t in part.column(1).to_pylist():
-                    digests = wide_shingles(t or b"", words)
-                    h = np.unique(np.ascontiguousarray(digests[:, :8]).view("<u8").ravel())
-                    rows.append((xxhash.xxh64_intdigest(h.tobytes(), 42), wide_fingerprint(digests), len(h), _parity(h), h.tobytes()))
+                    h = wide_shingles(t or b"", words, hasher)
+                    rows.append((xxhash.xxh64_intdigest(h.tobytes(), 42), wide_fingerprint(h), len(h), _parity(h), h.tobytes()))
                 ids, fps, sizes, bits, hashes = zip(*rows, strict=True)
                 columns = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(hashes, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "id", "fp", "n", "bits", "hashes"])
@@ -447,7 +546,7 @@ def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stars = dealt.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars(radius, 2), "u binary, v binary").distinct()
     stars = stars.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
     stars = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(classes.join(prints, "fp").select(F.col("id").alias("u"), F.col("least").alias("v")))
-    near = _verified(stars, sets, scratch)
+    near = _verified(_pruned(stars, classes, scratch), sets, scratch)
     found = components(near, scratch).withColumnRenamed("u", "id")
     info = scratch.keep(classes.join(found, "id", "left").select("id", "n", "bits", F.coalesce("root", "id").alias("grp")))
     near = near.unionByName(_verified(_prefix_links(sets, info, scratch), sets, scratch))

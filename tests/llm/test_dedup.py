@@ -207,3 +207,119 @@ def test_chain_component(spark):
 
     got = {r.u: r.root for r in simhash.components(edges, Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_near_groups_of_few_documents(spark, n):
+    """More shuffle partitions than rows: tasks without rows give nothing."""
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(i, " ".join(words + [str(i)] * (i > 2))) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for groups in (simhash.near_groups, simhash.wide_groups):
+            got = {r.doc_id: r.component_id for r in groups(df).collect()}
+            assert set(got) == set(range(n)) and all(got[i] == 0 for i in range(min(n, 3)))
+        assert simhash.keep_one_of_each(df.where("doc_id < 2")).count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_components_of_a_hub(spark):
+    """A star, a chain, a cycle and a lone edge, against a union-find."""
+    from attesta.llm.common import Scratch
+
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000 + i, 2000 + (i + 1) % 30) for i in range(30)] + [(5, 5), (3001, 3000), (3000, 3001)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    want = {(x, find(x)) for x in up if find(x) != x}
+    got = simhash.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()
+    assert {(r.u, r.root) for r in got} == want and len(got) == len(want)
+
+
+def test_word_hashes(rows):
+    """Equal words have equal hashes wherever they stand, other words others, across the cuts of a long text too."""
+    hasher = simhash.WordHasher()
+    hasher.CHUNK = 50
+    known = {}
+    for r in rows:
+        text = (r[1] or "").encode()
+        words, hashes = text.lower().split(), hasher(text).tolist()
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes, strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known) > 1000
+
+
+def test_wide_shingles(rows):
+    for r in rows:
+        w = (r[1] or "").encode().lower().split()
+        want = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        got = simhash.wide_shingles((r[1] or "").encode())
+        assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
+
+
+def jaccard_pairs(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    owners = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            owners[x].append(i)
+    both = Counter((a, b) for ids in owners.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    return {(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+
+
+def test_wide_groups_on_the_table(spark):
+    """All texts of the table: exactly the components of all pairs at 0.8, none lost, none without a partner."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    up = {i: i for i, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in jaccard_pairs([t for _, t in rows]):
+        a, b = sorted((find(rows[a][0]), find(rows[b][0])))
+        up[b] = a
+    got = {r.doc_id: r.component_id for r in simhash.wide_groups(table).collect()}
+    assert got == {i: find(i) for i, _ in rows}
+
+
+def test_tokens_of_many_texts(spark, monkeypatch):
+    """Pairs are the same whether a token's texts are few or many."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 50, 60)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.choice(60, int(rng.integers(0, 7)), replace=False):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in simhash.wide_groups(df).collect()}
+    up = {i: i for i, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in jaccard_pairs([t for _, t in rows]):
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    assert want == {i: find(i) for i, _ in rows}
+    assert len(set(want.values())) > 1
