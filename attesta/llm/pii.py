@@ -6,7 +6,8 @@ PMI(t, k) = log2(n(t, k) N / (n(t) n(k))) is held against the information IC(k)
 A term that tells at least ``DISCLOSURE`` of it, with enough support, is a span where it stands in such a context; it is
 generalised to its kind's name, and removed where it tells all of it.
 
-Support is a fixed number of occurrences, ``LEAST``, so that a term does not lose its spans as documents are added. All
+Support is a fixed number of distinct documents, ``LEAST``, so that a term does not lose its spans as documents are added,
+and one document that repeats a word beside an address gives it none. All
 counts are over all documents, added up per task before the shuffle, and stay distributed tables. Terms are sent to the
 workers only where a count shows that they are few (``FEW_TERMS``); else they are joined to their occurrences.
 
@@ -29,7 +30,7 @@ from attesta.llm.common import Scratch
 from attesta.llm.spans import digest, ordered, over_texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity; share of the kind's information; least occurrences near a kind; terms that may be broadcast.
+#: Words on either side of an entity; share of the kind's information; least documents with it near a kind; terms that may be broadcast.
 CONTEXT, DISCLOSURE, LEAST, FEW_TERMS = 5, 0.8, 5, 100_000
 
 # The contracts' patterns. A run of digits is only tried from its start, as a later start in it cannot do better.
@@ -91,51 +92,48 @@ def context_words(text: str, found: list[tuple[int, int, str]], context: int = C
 
 
 def _counts(docs: DataFrame, make, id_col: str, text_col: str) -> DataFrame:
-    """(kind, term, n) summed over all texts; ``make()`` gives a function that adds a text's counts to a Counter."""
+    """(kind, term, n, docs) over all texts: occurrences, and rows that have any; ``make()`` gives a text's (kind, term)s."""
 
     def run(batches):
-        add, total = make(), Counter()
+        terms, total, texts = make(), Counter(), Counter()
 
         def flush():
             keys = list(total)
-            out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], ["kind", "term", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (total, texts))], ["kind", "term", "n", "docs"])
             total.clear()
+            texts.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0):
-                add(text.as_py() or "", total)
+                found = Counter(terms(text.as_py() or ""))
+                total.update(found)
+                texts.update(found.keys())
                 if len(total) > 100_000:
                     yield flush()
         yield flush()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, term string, n bigint").groupBy("kind", "term").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, term string, n bigint, docs bigint").groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def scored_terms(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, few: int = FEW_TERMS) -> DataFrame:
     """(kind, term, told): share of the kind's information that the term tells, for the terms at or above the threshold."""
 
     def contexts():
-        def add(text: str, total: Counter) -> None:
-            if found := entities(text):
-                total.update((k, "") for _, _, k in found)
-                total.update((k, w) for k, _, _, w in context_words(text, found))
+        return lambda text: ((k, w) for k, _, _, w in context_words(text, entities(text)))
 
-        return add
-
-    near = scratch.keep(_counts(docs, contexts, id_col, text_col)).where("term <> ''")
+    near = scratch.keep(_counts(docs, contexts, id_col, text_col))
     words = near.groupBy("kind").agg(F.sum("n").alias("words"))
-    able = scratch.keep(near.where(F.col("n") >= LEAST))
+    able = scratch.keep(near.where(F.col("docs") >= LEAST).select("kind", "term", "n"))
     terms = scratch.keep(able.select("term").distinct())
     wanted = frozenset(r.term for r in terms.collect()) if terms.limit(few + 1).count() <= few else None
 
     def everywhere():
-        def add(text: str, total: Counter) -> None:
+        def found(text: str):
             parts = _WORD.findall(text.lower())
-            total["all", ""] += len(parts)
-            total.update(("term", w) for w in parts if wanted is None or w in wanted)
+            return [("all", "")] * len(parts) + [("term", w) for w in parts if wanted is None or w in wanted]
 
-        return add
+        return found
 
     counted = scratch.keep(_counts(docs, everywhere, id_col, text_col))
     everything = counted.where("kind = 'all'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -207,12 +205,13 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few: int = FEW_TERMS) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and all spans as text."""
+    """doc_id, counts of the base kinds, base_sha256, all spans as text, and how many: of terms, and of all kinds."""
 
     def row(text: str, terms: dict[tuple[str, str], float]) -> tuple:
         base, extra = find_spans(text, terms)
         n = Counter(k for _, _, k in base)
-        return *(n[k] for k in KINDS[:4]), digest(ordered(base, KINDS)), ordered(base + extra, KINDS)
+        return *(n[k] for k in KINDS[:4]), digest(ordered(base, KINDS)), ordered(base + extra, KINDS), len(extra), len(base) + len(extra)
 
-    fields = [(f"n_{k}", "bigint", pa.int64()) for k in KINDS[:4]] + [(c, "string", pa.string()) for c in ("base_sha256", "spans")]
+    counts = [(f"n_{k}", "bigint", pa.int64()) for k in KINDS[:4]]
+    fields = [*counts, *((c, "string", pa.string()) for c in ("base_sha256", "spans")), *((c, "bigint", pa.int64()) for c in ("n_term", "n_spans"))]
     return _with_terms(docs, row, fields, id_col, text_col, few)
