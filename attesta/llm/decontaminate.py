@@ -80,12 +80,11 @@ def candidates(keyed: DataFrame, signature: DataFrame, scratch: Scratch) -> Data
     hits = scratch.keep(hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "s", "bound")).alias("hits")).withColumnsRenamed({"doc_id": "__d", "th": "__t"}))
     docs = _of(keyed, checked_broadcast(hits.select("__d", "__t"))).select("doc_id", "th", hashes.alias("hashes"))
 
-    def window(h: Column) -> Column:
-        first = F.greatest(h["pos"] - h["bound"] + 1, F.lit(0))
-        return F.struct(h["s"].alias("s"), h["bound"].alias("bound"), F.slice("hashes", first + 1, h["pos"] + h["bound"] - first).alias("window"))
-
+    # One hit a row, and only then its window: a document's windows are never held together.
     both = docs.join(hits, docs["doc_id"].eqNullSafe(hits["__d"]) & (docs["th"] == hits["__t"]))
-    near = both.select("__d", "__t", F.explode_outer(F.transform("hits", window)).alias("x")).select("__d", "__t", "x.*")
+    first = F.greatest(F.col("h.pos") - F.col("h.bound") + 1, F.lit(0))
+    near = both.select("__d", "__t", "hashes", F.explode_outer("hits").alias("h"))
+    near = near.select("__d", "__t", "h.s", "h.bound", F.slice("hashes", first + 1, F.col("h.pos") + F.col("h.bound") - first).alias("window"))
     least = F.array_min(F.transform("window", lambda x: F.xxhash64(x, F.col("fn"))))
     return near.join(F.broadcast(signature), ["s", "bound"]).where(least == F.col("least")).select("__d", "__t", "item_id").distinct()
 
