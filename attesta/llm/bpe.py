@@ -6,10 +6,12 @@ every arc labelled ``u`` to a copy of its target that has no ``v`` arc, and puts
 ``u`` arc whose target had one, leading where ``v`` leads. So where an arc leads depends on its label alone, a state is
 the history of the arcs it lost, and copies share that history: the state behind token ``u`` is, by the right parts of
 ``u``, a chain of earlier states, and the arc ``c`` exists as long as the arcs of its left parts did. The automaton is
-therefore kept as differences: for each label its two parts and its birth, and for each lost arc the merge that took
-it. A transition is a few look-ups in these tables.
+therefore compiled as differences: for each label its two parts and its birth, and for each lost arc the merge that took
+it. Written out, its transition table would have billions of cells, so cells are written out as words need them and kept:
+encoding looks transitions up in the table, and only a cell that no word has needed before is computed from the
+differences. Arcs are read off a word by a second table, from node and symbol to node, of the labels that have arcs.
 
-A word has one accepted segmentation. It is found by trying labels longest first along existing arcs, and positions
+A word has one accepted segmentation. It is found by taking labels longest first along existing arcs, and positions
 from which no path leads on are marked, so that work is linear in the word's length. Decoding emits the arc labels of
 the ids, as the tokenizer file names no decoder: joined by single spaces.
 
@@ -31,8 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept with their ids by a worker; when there are more, all are forgotten.
-MEMO = 400_000
+#: Words kept with their ids by a worker, and cells of its transition table; when there are more, all are forgotten.
+MEMO, CELLS = 400_000, 2_000_000
 _NEVER = 1 << 60
 
 # The pattern of the vocabulary file, with white space named as that file's regex engine knows it.
@@ -63,7 +65,12 @@ class Automaton:
         self.vocab = {label: i for label, i in vocab.items() if label not in made}  # of labels with an arc
         for k, (u, v) in enumerate(merges):
             self._gadget(k, u, v)
-        self.longest = max(map(len, vocab), default=1)
+        self._nodes: list[tuple[dict, int, int]] | None = None
+        self._cells: dict[int, bool] = {}
+
+    def __getstate__(self) -> dict:
+        """Without the tables that each worker fills for itself."""
+        return self.__dict__ | {"_nodes": None, "_cells": {}}
 
     @classmethod
     def load(cls, path: str) -> Automaton:
@@ -95,34 +102,72 @@ class Automaton:
             held, y = born[y], right[y]
         return True
 
+    def step(self, state: int, label: int) -> bool:
+        """The cell of the transition table: whether ``label`` leads on from ``state``. It leads to the state ``label``."""
+        cell = state * self.size + label
+        found = self._cells.get(cell)
+        if found is None:
+            if len(self._cells) >= CELLS:
+                self._cells.clear()
+            found = self._cells[cell] = self.arc(state, label)
+        return found
+
+    def nodes(self) -> list[tuple[dict, int, int]]:
+        """A table of (next node by symbol, label that ends here within a word, label that ends here with the word)."""
+        if self._nodes is None:
+            after: list[dict[str, int]] = [{}]
+            within, last = [-1], [-1]
+            for label, i in self.vocab.items():
+                ends = bool(self.end) and label.endswith(self.end)
+                node = 0
+                for c in label.removesuffix(self.end) if ends else label:
+                    if c not in after[node]:
+                        after[node][c] = len(after)
+                        after.append({})
+                        within.append(-1)
+                        last.append(-1)
+                    node = after[node][c]
+                if ends or not self.end:
+                    last[node] = i
+                if not ends:
+                    within[node] = i
+            self._nodes = list(zip(after, within, last, strict=True))
+        return self._nodes
+
+    def arcs(self, symbols: str, at: int) -> list[tuple[int, int]]:
+        """(stop, label) of the labels that stand at ``at``, the longest last."""
+        nodes, n, out = self.nodes(), len(symbols), []
+        after = nodes[0][0]
+        while at < n:
+            node = after.get(symbols[at])
+            if node is None:
+                break
+            at += 1
+            after, within, last = nodes[node]
+            label = last if at == n else within
+            if label >= 0:
+                out.append((at, label))
+        return out
+
     def word(self, symbols: str) -> list[int]:
         """Ids of one word, given in byte symbols."""
-        n, vocab, out, cuts, dead = len(symbols), self.vocab, [], [0], set()
-        longest = min(self.longest, n)
-        while True:
-            at, found = cuts[-1], -1
-            if at == n:
-                return out
-            while longest > 0:
-                stop = at + longest
-                longest -= 1
-                if stop > n or stop in dead:
-                    continue
-                label = vocab.get(symbols[at:stop] + self.end if stop == n else symbols[at:stop], -1)
-                if label >= 0 and (not out or self.arc(out[-1], label)):
-                    found = label
+        at, n, out, path, dead = 0, len(symbols), [], [], set()
+        options = self.arcs(symbols, 0)
+        while at < n:
+            while options:
+                stop, label = options.pop()
+                if stop not in dead and (not out or self.step(out[-1], label)):
+                    path.append((at, options))
+                    out.append(label)
+                    at, options = stop, self.arcs(symbols, stop)
                     break
-            if found >= 0:
-                out.append(found)
-                cuts.append(stop)
-                longest = min(self.longest, n - stop)
-            elif not out:
-                raise ValueError(f"no accepted segmentation: {symbols!r}")
             else:
+                if not out:
+                    raise ValueError(f"no accepted segmentation: {symbols!r}")
                 dead.add(at)
                 out.pop()
-                cuts.pop()
-                longest = at - cuts[-1] - 1
+                at, options = path.pop()
+        return out
 
 
 class _Memo(dict):
