@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Scratch, checked_broadcast
+from attesta.llm.common import Scratch, checked_broadcast, fresh_names
 
 #: Least share of all rows that makes a digest hot; also bounds the broadcast to 10,000 digests.
 SUPPORT = 1e-4
@@ -73,18 +73,20 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     pair the join drops all and one is put back by a window over these pairs alone.
     """
     scratch = Scratch(docs.sparkSession)
-    settled = scratch.keep(_settled(_digests(docs, id_col, text_col, scratch), scratch, support).where("n > 1").select("doc_id", "digest", (F.col("row") == F.col("best.row")).alias("__stays")))
-    pairs = scratch.keep(settled.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.max("__stays").alias("__stays")).where("n > 1 OR NOT __stays"))
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    stays = (F.col("row") == F.col("best.row")).alias("stays")
+    settled = scratch.keep(_settled(_digests(docs, id_col, text_col, scratch), scratch, support).where("n > 1").select("doc_id", "digest", stays))
+    pairs = scratch.keep(settled.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where("n > 1 OR NOT stays"))
+    key, number = fresh_names(docs, "digest", "number")
+    keyed = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
 
     def on(side: DataFrame):
-        return (keyed[id_col].eqNullSafe(side["doc_id"])) & (keyed["__digest"] == side["digest"])
+        return (keyed[id_col].eqNullSafe(side["doc_id"])) & (keyed[key] == side["digest"])
 
     gone = checked_broadcast(pairs.select("doc_id", "digest"))
     out = keyed.join(gone, on(gone), "left_anti")
-    again = pairs.where("n > 1 AND __stays").select("doc_id", "digest")
+    again = pairs.where("n > 1 AND stays").select("doc_id", "digest")
     if not again.isEmpty():
         again = checked_broadcast(again)
-        first = W.partitionBy("__digest", id_col).orderBy(F.lit(1))
-        out = out.unionByName(keyed.join(again, on(again), "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"))
-    return out.drop("__digest")
+        first = W.partitionBy(key, id_col).orderBy(F.lit(1))
+        out = out.unionByName(keyed.join(again, on(again), "left_semi").withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number))
+    return out.drop(key)

@@ -30,6 +30,13 @@ def test_exact_groups(docs, rows):
     assert set(kept.values()) == {1}
 
 
+def test_exact_drop_clashing_names(spark):
+    rows = [(1, "a", "x", 5), (2, "a", "y", 6), (2, "a", "y", 6), (3, "b", "z", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, number int")
+    out = exact_dedup.drop_exact_copies(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(2, "a", "y", 6), (3, "b", "z", 7)]
+
+
 def test_exact_drop(docs, rows):
     out = exact_dedup.drop_exact_copies(docs)
     assert out.columns == docs.columns
@@ -80,9 +87,30 @@ def test_runs_are_compacted(spark):
     for b in range(5):
         keys = spark.createDataFrame([(bytes([k]), 10 * b, 10 * b, 1) for k in range(b, b + 3)], "h binary, first long, last long, n long")
         runs.add(keys)
+        runs.compact()
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    owners = {r.h: r.owner for t in runs.live() for r in t.collect()}
+    owners = {r.h: r.owner for level in runs.levels for t in level for r in runs._fresh(t).collect()}
     assert owners == {bytes(bytearray([k])): 10 * max(0, k - 2) for k in range(7)}
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("attesta_run_")]
+
+
+def test_line_index_is_kept_by_name(spark, docs):
+    """A named index outlives the call; one without a name leaves no table."""
+    before = {t.name for t in spark.catalog.listTables()}
+    line_dedup.dedup_lines(docs).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    a = spark.createDataFrame([(5, "a line that repeats\nonly here in five"), (6, "A line that repeats")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "a line that repeats\nfirst seen in one"), (9, "first seen in one")], "doc_id long, text string")
+    name = "kept_by_name"
+    one = {r.doc_id: r.text for r in line_dedup.dedup_lines(a, batches=2, index=name).collect()}
+    two = {r.doc_id: r.text for r in line_dedup.dedup_lines(b, batches=2, index=name).collect()}
+    again = {r.doc_id: r.text for r in line_dedup.dedup_lines(a, batches=2, index=name).collect()}
+    assert one == again == {5: "a line that repeats\nonly here in five", 6: ""}
+    assert two == {1: "first seen in one", 9: ""}
+    for t in spark.catalog.listTables():
+        if name in t.name:
+            spark.sql(f"DROP TABLE {t.name}")
 
 
 def fingerprint_brute(t, words):

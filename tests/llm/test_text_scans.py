@@ -25,6 +25,27 @@ def test_license(spark, docs, empty):
     assert license_scan.scan(docs).count() == 0 and license_scan.scan(empty).count() == 0
 
 
+def test_whole_licences(spark, tmp_path):
+    """Short licences are found by their whole text in any lay-out; others by the texts of a folder."""
+    import os
+    import textwrap
+
+    for name, text in license_scan.TEMPLATES[:5]:
+        body = f"Copyright (c) 2020 Some One\n\n{textwrap.fill(text, 70)}\n"
+        got = {r.license_id: r.dice for r in license_scan.scan(spark.createDataFrame([(1, body)], "doc_id long, text string")).collect()}
+        assert got[name] > 0.9
+    long = " ".join(f"term{i} of clause{i * 7 % 300}" for i in range(2000))
+    (tmp_path / "Made-Up-1.0.txt").write_text(long)
+    templates = license_scan.read_templates(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, textwrap.fill(long, 80)), (2, long[: len(long) // 4]), (3, "x " + long.replace("term5", "word5"))], "doc_id long, text string")
+    assert {(r.doc_id, r.license_id) for r in license_scan.scan(docs, templates).collect()} == {(1, "Made-Up-1.0"), (3, "Made-Up-1.0")}
+    folder = "/usr/share/common-licenses"
+    if os.path.exists(f"{folder}/Apache-2.0"):
+        whole = [(n, open(f"{folder}/{n}", encoding="utf-8").read()) for n in ("Apache-2.0", "GPL-3") if os.path.exists(f"{folder}/{n}")]
+        df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(whole)], "doc_id long, text string")
+        assert {(r.doc_id, r.license_id) for r in license_scan.scan(df, whole).collect()} >= {(i, n) for i, (n, _) in enumerate(whole)}
+
+
 def test_license_bounds():
     for size in range(1, 40):
         allowed = set(license_scan.size_bounds(size))
