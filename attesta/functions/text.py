@@ -9,10 +9,20 @@ from attesta.schema import CONTENT_TYPES
 
 WORDS = r"[\p{L}\p{N}_]+"
 
+#: The characters that are white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where sentences end, and what is trimmed off a span.
+SENTENCE_END, PUNCTUATION = rf"(?<=[.!?])[{WHITE}]+", r"[\s.,;:!?\-–—]+"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(WHITE))
+
 
 def sentences(text: Column) -> Column:
-    """Split behind ``.``, ``!`` or ``?`` and white space; trimmed, blank ones dropped."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    """Split behind ``.``, ``!`` or ``?`` and white space; stripped, blank ones dropped."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), strip), lambda s: s != "")
 
 
 def tokens(text: Column) -> Column:
@@ -24,7 +34,7 @@ def fixed_windows(text: Column, size: int = 512, overlap: int = 50) -> Column:
     stride = size - overlap
     last = F.greatest(F.length(text) - 1, F.lit(0))
     starts = F.sequence(F.lit(0), last, F.lit(stride)) if stride > 0 else F.array(F.lit(0))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.trim(F.substring(text, s + 1, F.lit(size))).alias("text")))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), strip(F.substring(text, s + 1, F.lit(size))).alias("text")))
 
 
 def word_windows(text: Column, size: int, overlap: int = 0) -> Column:
@@ -36,19 +46,19 @@ def word_windows(text: Column, size: int, overlap: int = 0) -> Column:
 
 def clean_answer(text: Column) -> Column:
     """One pair of outer quotes off, escaped newlines real, runs of blanks one, three or more newlines two, trimmed."""
-    text = F.regexp_replace(F.trim(text), r"""^(["'])((?s:.*))\1$""", "$2")
+    text = F.regexp_replace(strip(text), r"""^(["'])((?s:.*))\1$""", "$2")
     text = F.replace(text, F.lit("\\n"), F.lit("\n"))
     text = F.regexp_replace(F.regexp_replace(text, " {2,}", " "), "\n{3,}", "\n\n")
-    return F.btrim(text, F.lit(" \n\t\r"))
+    return strip(text)
 
 
 def trim_punctuation(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s.,;:!?\-–—]+|[\s.,;:!?\-–—]+$", "")
+    return F.regexp_replace(text, rf"^{PUNCTUATION}|{PUNCTUATION}$", "")
 
 
 def is_table(text: Column) -> Column:
     """At least two non-blank lines, two of them with a bar, and half of all."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: strip(x) != "")
     bars = F.size(F.filter(lines, lambda x: x.contains("|")))
     return (F.size(lines) >= 2) & (bars >= 2) & (bars * 2 >= F.size(lines))
 
@@ -73,15 +83,33 @@ def byte_truncate(text: Column, limit: int = 60_000) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.decode(F.unhex(whole), "UTF-8"))
 
 
+#: The common HTML entities, the ampersand's last.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
 def html_to_text(html: Column) -> Column:
     """Scripts, styles, comments and tags off; the common entities decoded; white space single."""
     text = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     text = F.regexp_replace(text, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def html_to_markdown(html: Column) -> Column:
+    """As :func:`html_to_text`, with headings, list items, paragraphs and breaks as markdown lines."""
+    text = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>|<!--.*?-->", " ")
+    text = F.regexp_replace(text, r"[ \t\r\n]+", " ")
+    for level in range(1, 7):
+        text = F.regexp_replace(text, rf"(?i) ?<h{level}(?:\s[^>]*)?> ?", "\n\n" + "#" * level + " ")
+    text = F.regexp_replace(text, r"(?i) ?<li(?:\s[^>]*)?> ?", "\n- ")
+    text = F.regexp_replace(text, r"(?i) ?</?(?:p|div|section|article|ul|ol|table|tr|h[1-6])(?:\s[^>]*)?> ?", "\n\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?i) ?<br\s*/?> ?", "\n"), r"<[^>]*>", "")
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return strip(F.regexp_replace(F.regexp_replace(text, r" *\n *", "\n"), r"\n{3,}", "\n\n"))
+
+
 def occurrences(text: Column, span: Column) -> Column:
     """Number of non-overlapping occurrences of ``span``; none of an empty one."""
     return F.when(F.length(span) > 0, ((F.length(text) - F.length(F.replace(text, span, F.lit("")))) / F.length(span)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))

@@ -10,16 +10,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.functions.text import fixed_windows, sentences, word_windows
+from attesta.functions.text import fixed_windows, sentences, strip, word_windows
 
+#: What header, fence, separator and caption lines look like.
 _HEADER = re.compile(r"^(#{1,6})[ \t]+(.*)$")
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _SEPARATOR = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
-_CAPTION = re.compile(r"^\s*\**Table\s+\S+?[:.]", re.IGNORECASE)
+_CAPTION = re.compile(r"^ *Table\s+\d+[:.]")
 
 
 def numbered(chunks: DataFrame, *, key: str = "document_id", order: str = "start") -> DataFrame:
@@ -148,38 +149,40 @@ class Markdown:
 
 
 def protected_regions(text: str) -> list[tuple[int, int]]:
-    """(start, end) of fenced code and of pipe tables with a separator row, with the caption before or after a table."""
-    lines, spans, at = text.split("\n"), [], 0
+    """(start, end) of fenced code and of pipe tables with a separator row, with their captions.
+
+    Only blank lines may stand between a table and its caption. A caption before a table belongs to it; one behind it
+    does too unless another table follows later in the text.
+    """
+    lines, at, places = text.split("\n"), 0, []
     for line in lines:
-        spans.append((at, at + len(line)))
+        places.append((at, at + len(line)))
         at += len(line) + 1
-    out, i, n = [], 0, len(lines)
+    out, tables, i, n = [], [], 0, len(lines)
     while i < n:
         if m := _FENCE.match(lines[i]):
             j = next((k for k in range(i + 1, n) if lines[k].strip().startswith(m[1])), n - 1)
-            out.append((spans[i][0], spans[j][1]))
+            out.append((places[i][0], places[j][1]))
             i = j + 1
         elif "|" in lines[i] and i + 1 < n and "|" in lines[i + 1] and _SEPARATOR.match(lines[i + 1]):
             j = i
             while j + 1 < n and "|" in lines[j + 1]:
                 j += 1
-            a, b = i, j
-            k = i - 1
-            while k >= 0 and not lines[k].strip():
-                k -= 1
-            if k >= 0 and _CAPTION.match(lines[k]):
-                a = k
-            else:
-                k = j + 1
-                while k < n and not lines[k].strip():
-                    k += 1
-                if k < n and _CAPTION.match(lines[k]) and not any("|" in x for x in lines[k + 1 : k + 4]):
-                    b = k
-            out.append((spans[a][0], spans[b][1]))
-            i = max(j, b) + 1
+            tables.append((i, j))
+            i = j + 1
         else:
             i += 1
-    return out
+
+    def beside(line: int, step: int) -> int | None:
+        while 0 <= line < n and not lines[line].strip():
+            line += step
+        return line if 0 <= line < n and _CAPTION.match(lines[line]) else None
+
+    for a, b in tables:
+        above, below = beside(a - 1, -1), beside(b + 1, 1)
+        last = below if below is not None and not any(first > below for first, _ in tables) else b
+        out.append((places[a if above is None else above][0], places[last][1]))
+    return sorted(out)
 
 
 def chunk_markdown(docs: DataFrame, options: Markdown | None = None, *, ident: str = "id", text: str = "text") -> DataFrame:
@@ -212,3 +215,110 @@ def heading_paths(docs: DataFrame, *, ident: str = "id", text: str = "text") ->
         out = out.withColumn(f"__r{level}", F.max(F.when(F.col("level") < level, F.col("line"))).over(before))
     parts = [F.when((F.col("level") > n) & (F.coalesce(F.col(f"__r{n}"), F.lit(-1)) < F.col(f"__l{n}.line")), F.col(f"__l{n}.title")) for n in range(1, 6)]
     return out.select("document_id", "line", "level", "title", F.array_join(F.array_compact(F.array(*parts)), " > ").alias("path"))
+
+
+#: Options of the usual chunkers, by what they are for.
+PRESETS: dict[str, dict] = {
+    "embeddings": {"strategy": "recursive", "size": 512, "overlap": 50},
+    "qa": {"strategy": "sentence", "size": 3, "overlap": 1},
+    "semantic": {"strategy": "recursive", "size": 512, "overlap": 50},
+    "markdown": {"strategy": "markdown", "levels": (1, 2, 3, 4), "preamble": True},
+}
+
+
+@dataclass
+class ChunkConfig:
+    """Options of :func:`chunk`; from a document's metadata by :meth:`of`, with a default for each that is missing."""
+
+    strategy: str = "recursive"
+    recipe: str = "default"
+    lang: str = "en"
+    size: int = 512
+    overlap: int = 50
+    merge_threshold: float = 0.7
+    split_threshold: float = 0.3
+    headings: bool = True
+    described: bool = True
+
+    def __post_init__(self) -> None:
+        if self.strategy not in ("recursive", "token", "sentence", "word", "fixed", "markdown", "semantic"):
+            raise ValueError(f"unknown chunk strategy {self.strategy!r}")
+
+    @classmethod
+    def of(cls, metadata: dict | None, content_type: str) -> ChunkConfig:
+        """Markdown for all but plain text, whose headings are not looked for; a value of the wrong type is an error."""
+        m = metadata or {}
+        recipe = str(m.get("chunker_recipe", "default" if content_type == "txt" else "markdown"))
+        return cls(str(m.get("chunker_type", "recursive")).lower(), recipe, str(m.get("lang", "en")), int(m.get("chunk_size", 512)), int(m.get("chunk_overlap", 50)), float(m.get("merge_threshold", 0.7)), float(m.get("split_threshold", 0.3)), recipe == "markdown", bool(m.get("include_metadata", True)))
+
+
+def config_columns(metadata: Column, kind: Column) -> Column:
+    """The same for each row of a table: a struct of options from a metadata map; what does not parse is the default."""
+    get = lambda k, cast, default: F.coalesce(F.try_element_at(metadata, F.lit(k)).try_cast(cast), F.lit(default).cast(cast))
+    recipe = F.coalesce(F.try_element_at(metadata, F.lit("chunker_recipe")), F.when(kind == "txt", "default").otherwise("markdown"))
+    return F.struct(F.lower(get("chunker_type", "string", "recursive")).alias("strategy"), recipe.alias("recipe"), get("lang", "string", "en").alias("lang"), get("chunk_size", "int", 512).alias("size"), get("chunk_overlap", "int", 50).alias("overlap"), get("merge_threshold", "double", 0.7).alias("merge_threshold"), get("split_threshold", "double", 0.3).alias("split_threshold"), (recipe == "markdown").alias("headings"), get("include_metadata", "boolean", True).alias("described"))
+
+
+def windows_of(parts: Column, size: int, overlap: int, glue: str) -> Column:
+    """Runs of ``size`` parts, each sharing ``overlap`` with the one before, joined by ``glue``; none for no parts."""
+    step = max(1, size - overlap)
+    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.greatest(F.size(parts) - overlap - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(parts, i + 1, F.lit(size)), glue))
+
+
+def chunk(docs: DataFrame, config: ChunkConfig | None = None, *, ident: str = "id", text: str = "text") -> DataFrame:
+    """document_id, chunk_number, text by any of the strategies; a text that is not blank has one chunk at least."""
+    config = config or ChunkConfig()
+    body = F.col(text)
+    if config.strategy == "markdown":
+        out = chunk_markdown(docs, ident=ident, text=text).select("document_id", "chunk_number", "text")
+        return out.where(strip(F.col("text")) != "")
+    if config.strategy in ("recursive", "semantic"):
+
+        @F.pandas_udf("array<string>")
+        def pieces(t: pd.Series) -> pd.Series:
+            return pd.Series([recursive_chunks(x or "", config.size) for x in t], dtype="object")
+
+        parts = pieces(body)
+    elif config.strategy == "token":
+        parts = windows_of(F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), 0), config.size, config.overlap, " ")
+    elif config.strategy == "sentence":
+        parts = windows_of(sentences(body), config.size, config.overlap, " ")
+    elif config.strategy == "word":
+        parts = windows_of(F.filter(F.split(body, r"\s+"), lambda w: w != ""), config.size, config.overlap, " ")
+    else:
+        parts = F.transform(fixed_windows(body, config.size, config.overlap), lambda w: w["text"])
+    kept = F.filter(parts, lambda p: strip(p) != "")
+    whole = F.when(F.size(kept) > 0, kept).otherwise(F.array(body))
+    return docs.where(strip(F.coalesce(body, F.lit(""))) != "").select(F.col(ident).alias("document_id"), F.posexplode(whole).alias("chunk_number", "text"))
+
+
+def with_heading_paths(docs: DataFrame, chunks: DataFrame, *, ident: str = "id", text: str = "text") -> DataFrame:
+    """``chunks`` (document_id, start, text) of any chunker with the headings above each, outermost first.
+
+    A heading that the chunk itself begins with, and its level and deeper ones, are left out.
+    """
+    kind = docs.schema[ident].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for d, t in zip(f["document_id"], f["text"], strict=True):
+                at = 0
+                for line in (t or "").splitlines(keepends=True):
+                    if m := _HEADER.match(line.rstrip("\r\n")):
+                        rows.append((d, at, len(m[1]), line.rstrip("\r\n")))
+                    at += len(line)
+            yield pd.DataFrame(rows, columns=["document_id", "start", "level", "heading"])
+
+    heads = docs.select(F.col(ident).alias("document_id"), F.col(text).alias("text")).mapInPandas(run, f"document_id {kind}, start int, level int, heading string")
+    events = heads.unionByName(chunks.select("document_id", "start"), allowMissingColumns=True).distinct()
+    before = W.partitionBy("document_id").orderBy("start", F.col("level").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = events.withColumn("seen", F.collect_list(F.when(F.col("level").isNotNull(), F.struct("start", "level", "heading"))).over(before)).where("level IS NULL")
+
+    def step(stack: Column, h: Column) -> Column:
+        return F.array_append(F.filter(stack, lambda x: x["level"] < h["level"]), h)
+
+    empty = F.array().cast("array<struct<start:int,level:int,heading:string>>")
+    path = F.filter(F.aggregate("seen", empty, step), lambda h: h["start"] != F.col("start"))
+    return chunks.join(held.select("document_id", "start", F.transform(path, lambda h: h["heading"]).alias("heading_path")), ["document_id", "start"])

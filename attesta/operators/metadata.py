@@ -46,3 +46,25 @@ def unknown_to_metadata(df: DataFrame, known: tuple[str, ...], metadata: str = "
         return df
     more = F.map_filter(F.create_map(*[x for c in extra for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]), lambda _, v: v.isNotNull())
     return df.withColumn(metadata, merge(more, F.col(metadata)) if metadata in df.columns else more).drop(*extra)
+
+
+def storage_row(df: DataFrame, created: str = "created_at", content: str = "content") -> DataFrame:
+    """A schema row as it is stored: without its content, the time of creation in epoch seconds."""
+    out = df.drop(content) if content in df.columns else df
+    return out.withColumn(created, F.unix_timestamp(F.col(created).cast("timestamp"))) if created in df.columns else out
+
+
+def iso_time(column: Column) -> Column:
+    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def from_iso(column: Column) -> Column:
+    """ISO text as a timestamp; text that is none is null."""
+    return F.try_to_timestamp(column, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"))
+
+
+def chunk_metadata(document: Column, chunk: Column, **base: Column) -> Column:
+    """Metadata of a chunk: base fields, then the document's, then the chunk's own; later ones win."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    fixed = F.map_filter(F.create_map(*[x for k, v in base.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull()) if base else empty
+    return merge(fixed, document, chunk)

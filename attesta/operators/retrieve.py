@@ -17,7 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions.text import tokens
-from attesta.functions.vectors import cosine, hashed_term
+from attesta.functions.vectors import hashed_term
+from attesta.session import scratch_folder
 
 #: Queries sent to the tasks at once; BM25 parameters; rank constant of the fusion.
 BLOCK, K1, B, RRF_K = 4096, 1.2, 0.75, 60
@@ -38,30 +39,55 @@ def _blocks(queries: DataFrame, ident: str, vector: str) -> Iterator[pd.DataFram
         yield part.toPandas()
 
 
-def _best_rows(ids: np.ndarray, who, scores: np.ndarray, keys: np.ndarray, k: int) -> pd.DataFrame:
-    """The best k of a batch for each query ``who``, whose scores are the rows of ``scores``."""
-    picked = [np.lexsort((keys, -row))[:k] for row in scores]
-    if not picked:
-        return pd.DataFrame({"question_id": ids[:0], "id": keys[:0], "score": np.zeros(0)})
-    owner = np.repeat(ids[list(who)], [len(p) for p in picked])
-    return pd.DataFrame({"question_id": owner, "id": keys[np.concatenate(picked)], "score": np.concatenate([r[p] for r, p in zip(scores, picked, strict=True)])})
+class _Best:
+    """The best k of each query over all batches of a task; ties go to the smaller key."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.rows: list[list[tuple[float, object]]] = [[] for _ in range(n)]
+
+    def add(self, who: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
+        """``scores``: a row for each query in ``who``, a column for each key."""
+        if scores.shape[1] > self.k:
+            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+        else:
+            least = np.full(len(scores), -np.inf)
+        for q, row, cut in zip(who.tolist(), scores, least.tolist(), strict=True):
+            held = self.rows[q]
+            if len(held) == self.k:
+                cut = max(cut, -held[-1][0])
+            at = np.flatnonzero(row >= cut)
+            self.rows[q] = sorted([*held, *zip((-row[at]).tolist(), keys[at].tolist(), strict=True)])[: self.k]
+
+    def frame(self, ids: np.ndarray) -> pd.DataFrame:
+        flat = [(ids[q], key, -s) for q, rows in enumerate(self.rows) for s, key in rows]
+        return pd.DataFrame(flat, columns=["question_id", "id", "score"])
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    v = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n > 0, n, 1)
 
 
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, *, ident: str = "id", vector: str = "vector", query_id: str = "id", query_vector: str = "vector", where: Column | None = None, digits: int = 6) -> DataFrame:
-    """Exact cosine top-k: question_id, id, score (rounded), rank. The filter applies before the top-k."""
+    """Exact cosine top-k: question_id, id, score (rounded), rank. The filter applies before the top-k.
+
+    Each task keeps the best k of each query over all its rows, so what is shuffled does not grow with the rows.
+    """
     base = (corpus if where is None else corpus.where(where)).select(F.col(ident).alias("id"), F.col(vector).alias("v"))
     id_type, q_type = base.schema["id"].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     found = []
     for block in _blocks(queries, query_id, query_vector):
-        ids, q = block["question_id"].to_numpy(), np.array(block["q"].tolist(), np.float64)
+        shared = corpus.sparkSession.sparkContext.broadcast((block["question_id"].to_numpy(), _unit(block["q"])))
 
-        def best(frames: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            held, everyone = _Best(len(ids), k), np.arange(len(ids))
             for f in frames:
-                v = np.array(f["v"].tolist(), np.float64)
-                s = np.round(unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, digits)
-                keys = f["id"].to_numpy()
-                yield _best_rows(ids, range(len(ids)), s, keys, k)
+                if len(f):
+                    held.add(everyone, np.round(q @ _unit(f["v"]).T, digits), f["id"].to_numpy())
+            yield held.frame(ids)
 
         found.append(base.mapInPandas(best, f"question_id {q_type}, id {id_type}, score double"))
     if not found:
@@ -70,48 +96,69 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, *, ident: str = "i
 
 
 class InvertedFile:
-    """Inverted-file index: centroids fitted to a bounded sample, every row assigned; a search probes the nearest lists."""
+    """Inverted-file index: centroids fitted to a bounded sample, every row assigned; a search probes the nearest lists.
+
+    The rows are written by list (``path``; a scratch folder by default), so a search reads the probed lists alone.
+    """
 
-    def __init__(self, corpus: DataFrame, lists: int = 16, *, ident: str = "id", vector: str = "vector", sample: int = 20_000, rounds: int = 10, extra: tuple[str, ...] = ()):
+    def __init__(self, corpus: DataFrame, lists: int = 16, *, ident: str = "id", vector: str = "vector", sample: int = 20_000, rounds: int = 10, extra: tuple[str, ...] = (), path: str | None = None):
         rows = corpus.select(ident, vector).orderBy(F.xxhash64(ident), ident).limit(sample).toPandas()
-        v = np.array(rows[vector].tolist(), np.float64)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        centres = v[:: max(1, len(v) // lists)][:lists].copy()
-        for _ in range(rounds):
-            near = (v @ centres.T).argmax(1)
-            for c in range(len(centres)):
-                if (near == c).any():
-                    centres[c] = v[near == c].mean(0)
-            centres /= np.linalg.norm(centres, axis=1, keepdims=True)
-        self.centres = centres
-
-        @F.pandas_udf("int")
-        def assign(x: pd.Series) -> pd.Series:
-            return pd.Series((np.array(x.tolist(), np.float64).reshape(len(x), -1) @ centres.T).argmax(1))
-
-        self.index = corpus.select(F.col(ident).alias("id"), F.col(vector).alias("vector"), *extra).withColumn("list", assign("vector"))
+        self.centres, self.spark = fit_centres(_unit(rows[vector]), lists, rounds), corpus.sparkSession
+        self.path = path or f"{scratch_folder(self.spark)}/lists"
+        listed = corpus.select(F.col(ident).alias("id"), F.col(vector).alias("vector"), *extra).withColumn("list", nearest_list(F.col("vector"), self.centres))
+        listed.write.partitionBy("list").parquet(self.path)
+        self.schema = listed.schema
 
     def search(self, queries: DataFrame, k: int, probes: int = 4, *, query_id: str = "id", query_vector: str = "vector", where: Column | None = None, digits: int = 6) -> DataFrame:
-        centres, q_type = self.centres, queries.schema[query_id].dataType.simpleString()
-        base = (self.index if where is None else self.index.where(where)).select("id", "vector", "list")
-        found = []
-        for block in _blocks(queries, query_id, query_vector):
-            q = np.array(block["q"].tolist(), np.float64)
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
-            probed = np.zeros((len(q), len(centres)), bool)
-            np.put_along_axis(probed, np.argsort(-(q @ centres.T), axis=1)[:, :probes], True, axis=1)
-            ids = block["question_id"].to_numpy()
-
-            def best(frames, ids=ids, q=q, probed=probed):
-                for f in frames:
-                    for at, part in f.groupby("list"):
-                        who = np.flatnonzero(probed[:, at])
-                        v = np.array(part["vector"].tolist(), np.float64)
-                        s = np.round(q[who] @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, digits)
-                        yield _best_rows(ids, who, s, part["id"].to_numpy(), k)
-
-            found.append(base.mapInPandas(best, f"question_id {q_type}, id {base.schema['id'].dataType.simpleString()}, score double"))
-        return top(reduce(DataFrame.unionByName, found), k)
+        index = self.spark.read.schema(self.schema).parquet(self.path)
+        return probe_lists(index if where is None else index.where(where), self.centres, queries, k, probes, query_id=query_id, query_vector=query_vector, digits=digits)
+
+
+def fit_centres(v: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means from evenly spaced rows."""
+    centres = v[:: max(1, len(v) // lists)][:lists].copy()
+    for _ in range(rounds):
+        near = (v @ centres.T).argmax(1)
+        for c in range(len(centres)):
+            if (near == c).any():
+                centres[c] = v[near == c].mean(0)
+        n = np.linalg.norm(centres, axis=1, keepdims=True)
+        centres /= np.where(n > 0, n, 1)
+    return centres
+
+
+def nearest_list(vector: Column, centres: np.ndarray) -> Column:
+    @F.pandas_udf("int")
+    def assign(x: pd.Series) -> pd.Series:
+        return pd.Series((_unit(x) @ centres.T).argmax(1) if len(x) else np.zeros(0, np.int32))
+
+    return assign(vector)
+
+
+def probe_lists(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, *, query_id: str = "id", query_vector: str = "vector", digits: int = 6) -> DataFrame:
+    """Cosine top-k over the ``probes`` nearest lists of each query; ``index``: id, vector, list (a partition column)."""
+    q_type, id_type, found = queries.schema[query_id].dataType.simpleString(), index.schema["id"].dataType.simpleString(), []
+    for block in _blocks(queries, query_id, query_vector):
+        q = _unit(block["q"])
+        probed = np.zeros((len(q), len(centres)), bool)
+        np.put_along_axis(probed, np.argsort(-(q @ centres.T), axis=1)[:, :probes], True, axis=1)
+        shared = index.sparkSession.sparkContext.broadcast((block["question_id"].to_numpy(), q, probed))
+
+        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, q, probed = shared.value
+            held = _Best(len(ids), k)
+            for f in frames:
+                for at, part in f.groupby("list"):
+                    who = np.flatnonzero(probed[:, at])
+                    held.add(who, np.round(q[who] @ _unit(part["vector"]).T, digits), part["id"].to_numpy())
+            yield held.frame(ids)
+
+        wanted = np.flatnonzero(probed.any(0)).tolist()
+        base = index.where(F.col("list").isin(wanted)).select("id", "vector", "list")
+        found.append(base.mapInPandas(best, f"question_id {q_type}, id {id_type}, score double"))
+    if not found:
+        return index.limit(0).select(F.lit(None).cast(q_type).alias("question_id"), "id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank"))
+    return top(reduce(DataFrame.unionByName, found), k)
 
 
 def sparse_vectors(corpus: DataFrame, *, ident: str = "id", text: str = "text", size: int = 30522) -> DataFrame:
@@ -120,13 +167,25 @@ def sparse_vectors(corpus: DataFrame, *, ident: str = "id", text: str = "text",
     return words.groupBy("id", hashed_term(F.col("term"), size).alias("place")).agg((1 + F.ln(F.count("*"))).alias("weight"))
 
 
-def sparse_topk(postings: DataFrame, query_postings: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """Inner-product top-k; documents that share no place with a query are absent. Queries: question_id, place, weight."""
+def sparse_topk(postings: DataFrame, query_postings: DataFrame, k: int, digits: int = 6, where: DataFrame | None = None) -> DataFrame:
+    """Inner-product top-k; documents that share no place with a query are absent. Queries: question_id, place, weight.
+
+    ``where``: the ids that may be found; the filter applies before the top-k.
+    """
     q = query_postings.withColumnRenamed("weight", "qw")
-    scored = postings.join(q, "place").groupBy("question_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), digits).alias("score"))
+    near = postings if where is None else postings.join(where.select("id"), "id", "left_semi")
+    scored = near.join(q, "place").groupBy("question_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), digits).alias("score"))
     return top(scored, k)
 
 
+def sparse_text_topk(corpus: DataFrame, query_postings: DataFrame, k: int, *, ident: str = "id", text: str = "text", size: int = 30522, where: Column | None = None, digits: int = 6) -> DataFrame:
+    """As :func:`sparse_topk` over texts without stored postings: only places that a query has are counted and shuffled."""
+    base = corpus if where is None else corpus.where(where)
+    words = base.select(F.col(ident).alias("id"), F.explode(tokens(F.col(text))).alias("term")).select("id", hashed_term(F.col("term"), size).alias("place"))
+    near = words.join(query_postings.select("place").distinct(), "place", "left_semi").groupBy("id", "place").agg((1 + F.ln(F.count("*"))).alias("weight"))
+    return sparse_topk(near, query_postings, k, digits)
+
+
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, *, ident: str = "id", text: str = "text", query_id: str = "id", query_text: str = "text", where: Column | None = None, digits: int = 6) -> DataFrame:
     """BM25 top-k; statistics are over the whole corpus, the filter applies before the top-k.
 
@@ -138,23 +197,27 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, *, ident: str = "id
     stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("w").cast("double")).alias("avgdl"))
     sized = docs.select("id", "keep", F.size("w").cast("double").alias("dl"), F.explode("w").alias("term"))
     tf = sized.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "keep", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
+    return bm25_score(tf, stats, asked, k, digits, keep="keep")
+
+
+def bm25_score(tf: DataFrame, stats: DataFrame, asked: DataFrame, k: int, digits: int = 6, *, keep: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """BM25 top-k from postings (id, dl, term, tf) that are cut to the terms of ``asked`` (question_id, term).
+
+    ``stats``: one row (n, avgdl). Document frequencies count all postings; ``keep`` (a column) or ``allowed`` (ids) then
+    say which rows may be found.
+    """
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.where("keep").join(df, "term").join(asked, "term").join(F.broadcast(stats)).groupBy("question_id", "id").agg(F.round(F.sum(weight), digits).alias("score"))
+    near = tf.where(keep) if keep else tf
+    near = near if allowed is None else near.join(allowed, "id", "left_semi")
+    scored = near.join(df, "term").join(asked, "term").join(F.broadcast(stats)).groupBy("question_id", "id").agg(F.round(F.sum(weight), digits).alias("score"))
     return top(scored, k)
 
 
 def sanitise_weights(weights: dict, available: tuple[str, ...] = ("dense", "sparse", "full_text")) -> dict[str, float]:
-    """Known methods with a positive number; none left is an error."""
-    out = {}
-    for name, w in weights.items():
-        try:
-            w = float(w)
-        except (TypeError, ValueError):
-            continue
-        if name in available and w > 0:
-            out[name] = w
+    """Known methods with a positive number; whatever is not a number goes, text too; none left is an error."""
+    out = {m: float(w) for m, w in weights.items() if m in available and isinstance(w, int | float) and w > 0}
     if not out:
         raise ValueError("no usable hybrid weights")
     return out
@@ -210,9 +273,22 @@ def rerank(hits: DataFrame, scored: Column, k: int = 50, keep_tail: bool = True)
 
 
 def best_example(questions: DataFrame, examples: DataFrame, *, ident: str = "id", vector: str = "vector") -> DataFrame:
-    """Nearest example (id, template, vector) of each question by cosine; the first of equals. Examples are configuration."""
-    e = F.broadcast(examples.select(F.col("id").alias("example_id"), "template", F.col("vector").alias("ev")))
-    both = questions.select(F.col(ident).alias("question_id"), F.col(vector).alias("qv")).join(e)
-    s = both.select("question_id", "example_id", "template", F.round(cosine(F.col("qv"), F.col("ev")), 6).alias("score"))
-    best = s.groupBy("question_id").agg(F.max_by(F.struct("example_id", "template", "score"), F.struct("score", -F.col("example_id"))).alias("x"))
-    return best.select("question_id", "x.*")
+    """Nearest example (id, template, vector) of each question by cosine; the first of equals.
+
+    Examples are configuration and are sent to the tasks; more than ``BLOCK`` of them are an error.
+    """
+    rows = examples.select("id", "template", "vector").orderBy("id").limit(BLOCK + 1).toPandas()
+    if len(rows) > BLOCK:
+        raise ValueError(f"more than {BLOCK} examples")
+    q_type, e_type = questions.schema[ident].dataType.simpleString(), examples.schema["id"].dataType.simpleString()
+    shared = questions.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), rows["template"].tolist(), _unit(rows["vector"]) if len(rows) else None))
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, templates, e = shared.value
+        for f in frames:
+            if len(f) and e is not None:
+                s = np.round(_unit(f["v"]) @ e.T, 6)
+                at = s.argmax(1)
+                yield pd.DataFrame({"question_id": f["question_id"], "example_id": ids[at], "template": [templates[i] for i in at], "score": s[np.arange(len(at)), at]})
+
+    return questions.select(F.col(ident).alias("question_id"), F.col(vector).alias("v")).mapInPandas(nearest, f"question_id {q_type}, example_id {e_type}, template string, score double")

@@ -5,39 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.templates import NOT_FOUND
+from attesta.functions.text import strip
 
-SPANS = "map<string,array<string>>"
+_ITEMS = "array<struct<text:string,doc:int>>"
 
 
 def normalise(raw: Column) -> Column:
-    """Model output as map of placeholder to array of (text, doc): plain strings get document 0, other things go."""
-    parsed = F.from_json(raw, SPANS)
-    item = lambda s: F.when(s.startswith("{"), F.struct(F.get_json_object(s, "$.text").alias("text"), F.coalesce(F.get_json_object(s, "$.doc").try_cast("int"), F.lit(0)).alias("doc"))).otherwise(F.struct(s.alias("text"), F.lit(0).alias("doc")))
-    return F.transform_values(F.coalesce(parsed, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))), lambda _, v: F.filter(F.transform(v, item), lambda x: F.length(x["text"]) > 0))
+    """Model output as map of placeholder to array of (text, doc): plain strings get document 0, other things go.
 
-
-def verified(spans: Column, contents: Column) -> Column:
-    """Spans whose document index exists and whose text stands in that document; repeats within a document go."""
-    return F.array_distinct(F.filter(spans, lambda s: (s["doc"] >= 0) & (s["doc"] < F.size(contents)) & F.coalesce(F.contains(F.get(contents, s["doc"]), s["text"]), F.lit(False))))
-
-
-def fill(template: Column, values: Column) -> Column:
-    """``[NAME]`` by its spans, numbered on through the template in order of occurrence; a fixed text where there are none.
-
-    A placeholder that stands twice is numbered anew each time.
+    Objects keep their text, and their document or 0; items without text go. Output that is not a JSON object is empty.
     """
-    pieces = F.split(template, r"\[[A-Z][A-Z0-9_]+\]", -1)
-    names = F.regexp_extract_all(template, F.lit(r"\[([A-Z][A-Z0-9_]+)\]"), 1)
+    parsed = F.from_json(raw, "map<string,array<variant>>")
+    kind = lambda v: F.schema_of_variant(v)
+    text = lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(kind(v).startswith("OBJECT"), F.try_variant_get(v, "$.text", "string"))
+    doc = lambda v: F.when(kind(v).startswith("OBJECT"), F.coalesce(F.try_variant_get(v, "$.doc", "int"), F.lit(0))).otherwise(F.lit(0))
+    item = lambda v: F.struct(text(v).alias("text"), doc(v).alias("doc"))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{_ITEMS}>"))
+    return F.coalesce(F.transform_values(parsed, lambda _, v: F.filter(F.transform(v, item), lambda x: F.length(x["text"]) > 0)), empty)
 
-    def step(a: Column, name: Column) -> Column:
-        texts = F.coalesce(F.try_element_at(values, name), F.array().cast("array<struct<text:string,doc:int>>"))
-        shown = F.array_join(F.transform(texts, lambda s, i: F.concat(F.lit("["), (a["n"] + i + 1).cast("string"), F.lit("] "), s["text"])), "\n")
-        body = F.when(F.size(texts) > 0, shown).otherwise(F.lit(NOT_FOUND))
-        return F.struct(F.concat(a["out"], body, F.get(pieces, a["at"])).alias("out"), (a["at"] + 1).alias("at"), (a["n"] + F.size(texts)).alias("n"))
 
-    start = F.struct(F.get(pieces, F.lit(0)).alias("out"), F.lit(1).alias("at"), F.lit(0).alias("n"))
-    return F.aggregate(names, start, step, lambda a: a["out"])
+def verified(spans: Column, contents: Column) -> Column:
+    """Spans whose document index exists and whose text, stripped, stands in that document; repeats within a document go."""
+    spans = F.transform(spans, lambda s: F.struct(strip(s["text"]).alias("text"), s["doc"].alias("doc")))
+    return F.array_distinct(F.filter(spans, lambda s: (F.length(s["text"]) > 0) & (s["doc"] >= 0) & (s["doc"] < F.size(contents)) & F.coalesce(F.contains(F.get(contents, s["doc"]), s["text"]), F.lit(False))))
 
 
 def hits_to_results(hits: DataFrame, metadata: str = "metadata", promoted: tuple[str, ...] = ("user_id", "document_id", "dataset_id")) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -39,3 +41,40 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, root))
     context.addPyFile(target)
     context._attesta_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session has none, one is set for a local master, whose only machine is the driver's; a cluster without it
+    is an error, as a folder of the driver would be no use there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file:///tmp/checkpoints/attesta-{os.getpid()}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path) of a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder within the shared one, removed when the driver exits."""
+    path = f"{shared_folder(spark)}/attesta-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            fs, where = file_system(spark, path)
+            fs.delete(where, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+    atexit.register(remove)
+    return path

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +13,64 @@ from attesta.functions.text import content_type, html_to_text
 from attesta.schema import CONTEXT
 from attesta.session import ship
 
-#: File suffixes that a folder scan takes.
+#: File suffixes that a folder scan takes; those whose bytes are not text need a converter.
 SUFFIXES = ("pdf", "docx", "html", "htm", "txt", "md")
+BINARY = ("pdf", "docx")
 
 
-def read_folder(spark: SparkSession, path: str, recursive: bool = True, suffixes: tuple[str, ...] = ("html", "htm", "txt", "md")) -> DataFrame:
-    """source, title (file stem), content_type, raw_content of each text-like file; unreadable files are skipped."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
+def read_folder(spark: SparkSession, path: str, recursive: bool = True, suffixes: tuple[str, ...] = SUFFIXES, convert: Callable[[bytes, str], str] | None = None) -> DataFrame:
+    """source, title (file stem), content_type, raw_content of each file; unreadable files are skipped.
+
+    ``convert(bytes, kind)`` turns PDF and DOCX files into text; without it, and where it fails, these are skipped.
+    """
+    taken = suffixes if convert else tuple(x for x in suffixes if x not in BINARY)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.{" + ",".join(taken) + "}").load(path)
     body = F.decode("content", "UTF-8")
     kind = content_type(F.col("path"))
-    return raw.select(F.col("path").alias("source"), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("title"), kind.alias("content_type"), F.when(kind == "html", html_to_text(body)).otherwise(body).alias("raw_content"))
+    text = F.when(kind.isin("html", "web_page"), html_to_text(body)).otherwise(body)
+    if convert:
+
+        @F.pandas_udf("string")
+        def converted(data: pd.Series, kinds: pd.Series) -> pd.Series:
+            def one(b: bytes, k: str) -> str | None:
+                try:
+                    return convert(b, k) if k in BINARY else None
+                except Exception:  # noqa: BLE001  the converter is the caller's
+                    return None
+
+            return pd.Series([one(b, k) for b, k in zip(data, kinds, strict=True)], dtype="object")
+
+        text = F.when(kind.isin(*BINARY), converted(F.col("content"), kind)).otherwise(text)
+    out = raw.select(F.col("path").alias("source"), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("title"), kind.alias("content_type"), text.alias("raw_content"))
+    return out.where("raw_content IS NOT NULL")
+
+
+def from_sources(rows: DataFrame, source: str = "source", content: str = "content") -> DataFrame:
+    """Schema rows from URLs or paths and their content: id from the source, type by its ending, title its last part."""
+    where = F.col(source)
+    return rows.select(F.sha2(where, 256).alias("id"), F.col(content).alias("content"), F.regexp_extract(where, r"([^/]+)/?$", 1).alias("title"), where.alias("source"), content_type(where).alias("content_type"))
+
+
+def pages_as_chunks(pages: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
+    """Pre-fetched pages as numbered chunks of their text."""
+    from attesta.operators.chunk import chunk_fixed, numbered
+
+    return numbered(chunk_fixed(pages_as_documents(pages), size, overlap, text="raw_content").drop("chunk_number"))
+
+
+def saved_schemas(spark: SparkSession, glob: str, schema: str) -> DataFrame:
+    """Saved schema files (one JSON object each) by a glob, timestamps restored; files that are not JSON are skipped."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").json(glob)
+
+
+def with_status(new: DataFrame, status: DataFrame | None, key: str = "id") -> DataFrame:
+    """Rows of ``new`` that a status table (key, status) does not call processed."""
+    return new if status is None else not_yet(new, status.where("status = 'processed'"), key)
+
+
+def append_status(done: DataFrame, path: str, status: str = "processed", key: str = "id") -> None:
+    """Add rows (key, status) to a folder of JSON lines."""
+    done.select(key, F.lit(status).alias("status")).write.mode("append").json(path)
 
 
 def read_records(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
@@ -90,11 +139,10 @@ WIDE = ("documents", "pages", "conversations", "embeddings")
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of ``folder``. A wide one in far fewer partitions than there are cores is dealt to all of them.
+    """A table of ``folder``. A wide one of a single file is dealt to all cores; larger ones are read as they are.
 
-    Only small single-file tables are; larger ones have a partition for each split and are read as they are.
+    Row groups are not split, so a single file would keep one task busy. Tables of several files are never moved.
     """
     ship(spark)
     table = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if name in WIDE and table.rdd.getNumPartitions() * 2 <= cores else table
+    return table.repartition(spark.sparkContext.defaultParallelism) if name in WIDE and len(table.inputFiles()) == 1 else table

@@ -49,7 +49,7 @@ def test_inverted_file_recall_on_tables(spark):
 
 
 def test_weights_and_routes():
-    assert retrieve.sanitise_weights({"dense": "2", "x": 1, "sparse": -1, "full_text": None}) == {"dense": 2.0}
+    assert retrieve.sanitise_weights({"dense": 2, "x": 1, "sparse": -1, "full_text": "3"}) == {"dense": 2.0}
     with pytest.raises(ValueError):
         retrieve.sanitise_weights({"dense": 0})
     assert retrieve.normalise_weights({"dense": 0, "sparse": 0}, ("dense", "sparse")) == {"dense": 0.5, "sparse": 0.5}
@@ -73,7 +73,7 @@ def test_verify_exact(spark):
 
 
 def test_verify_exact_blocked(spark, monkeypatch):
-    monkeypatch.setattr(spans, "SPANS", 0)
+    monkeypatch.setattr(spans, "BLOCK_BYTES", 80)
     docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "nothing here")], "doc_id int, text string")
     asked = spark.createDataFrame([(1, "wo three four five six sev"), (2, "five six"), (3, "one three four five six")], "span_id int, span string")
     assert {r.span_id for r in spans.verify_exact(docs, asked).collect()} == {1, 2}
@@ -261,14 +261,15 @@ def test_documents_and_batches(spark, tmp_path):
     corpus = spark.createDataFrame([("c", "The big tower is in Paris. It is old.")], "id string, text string")
     t = spark.createDataFrame([("d", "# R\n[!query=where is the big tower| format=bullet]\nend"), ("e", "none"), ("f", "x [!query=zzz] y")], "id string, text string")
     got = {r.document_id: r.text for r in documents.process(t, corpus).collect()}
-    assert "- [1] The big tower is in Paris." in got["d"] and got["f"] == "x [No answer] y" and got["e"] == "none"
+    assert "• [1] The big tower is in Paris." in got["d"] and got["f"] == "x No relevant information found. y" and got["e"] == "none"
     stages = documents.stages(t, documents.process(t, corpus)).where("document_id = 'd'").orderBy("seq").collect()
-    assert [s.type for s in stages] == ["queries_found", "query_complete", "document"]
+    assert [s.type for s in stages] == ["queries_found", "query_start", "query_complete", "document"]
     records = spark.createDataFrame([("where is the tower", ["The tower is here.", "Else."]), ("zz", [])], "question string, context array<string>")
     out = documents.answer_records(records)
-    assert out.count() == 1 and "The tower is here." in out.first().answer
+    told = {r.question: r.answer for r in out.collect()}
+    assert "The tower is here." in told["where is the tower"] and "No relevant information" in told["zz"]
     write_ndjson(out.select("question", "answer"), str(tmp_path / "o"))
-    assert spark.read.json(str(tmp_path / "o")).count() == 1
+    assert spark.read.json(str(tmp_path / "o")).count() == 2
 
     class Model:
         def complete(self, prompt):
@@ -288,3 +289,37 @@ def test_documents_and_batches(spark, tmp_path):
 
     cites = answer(q, corpus, extractor=model_extractor(Model(), "{{ question }} {{ document }}")).first().citations
     assert [c.text for c in cites] == ["The big tower is in Paris."]
+
+
+def misspelt(rng, text, share):
+    return "".join(rng.choice("abcdefghij") if c != " " and rng.random() < share else c for c in text)
+
+
+def test_verify_fuzzy_recall(spark):
+    """Spans with wrong characters in most of their words, against an aligner that sees every pair."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(12)]
+    asked = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        at = rng.randrange(50)
+        asked.append((i, misspelt(rng, " ".join(w[at : at + 20]), 0.05 + 0.012 * i)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    every = {(d, s) for d, t in enumerate(texts) for s, q in asked if spans.fuzzy_span(q, t)}
+    got = {(r.doc_id, r.span_id) for r in spans.verify_fuzzy(docs, spark.createDataFrame(asked, "span_id int, span string")).collect()}
+    assert got <= every and len(got) >= 0.9 * len(every) and len(every) >= 9
+
+
+def test_fuzzy_span_against_all_windows():
+    """The strided search finds as good a window as trying all."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7)))
+    for _ in range(40):
+        have = [word() for _ in range(60)]
+        at, n = rng.randrange(35), rng.randrange(4, 25)
+        span = misspelt(rng, " ".join(have[at : at + n]), 0.15)
+        width = len(span.split())
+        best = max((s for a in range(60) for k, s in enumerate(spans._window_scores(span, have[a : a + width + width // 4 + 1]), 1) if k >= max(1, width - width // 4 - 1)), default=0)
+        found = spans.fuzzy_span(span, " ".join(have))
+        assert (found is None) == (best < 0.8 - 1e-9) and (found is None or found[2] >= best - 1e-9)

@@ -63,7 +63,7 @@ def test_fill(spark):
     assert fill(spark, "[FACT_1] [FACT_2]", ["Alpha.", "Beta."]) == "[1] Alpha. [2] Beta."
     assert fill(spark, "[DISPLAY_SPANS] Refs: [CITATION_REFS]", ["a"], ["b"]) == "[1] a Refs: [2]"
     assert fill(spark, "[DISPLAY_SPANS]", ["a"], style="hidden") == "a"
-    assert "No relevant information" in fill(spark, "", [])
+    assert "No relevant information" in fill(spark, "A [DISPLAY_SPANS]", []) and fill(spark, "", []) == ""
 
 
 def test_placeholders_and_links(spark):
