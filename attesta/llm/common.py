@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.session import ship
+from attesta.session import file_system, scratch_folder, ship
 
 #: Rows and bytes up to which a side may be broadcast after both have been counted; beyond either the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
@@ -19,32 +15,15 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none, one is set for a local master, whose only machine is the driver's; a cluster without it
-    is an error, as a folder of the driver would be no use there.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = f"file:///tmp/checkpoints/attesta-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 class Scratch:
     """Tables that cut lineage: written once to the shared folder, read back from there, removed when the driver exits.
 
-    A lost executor costs nothing that has been written. ``drop`` removes a table that no later plan reads.
+    A lost executor costs nothing that has been written. ``drop`` and ``only`` remove tables that no later plan reads.
     """
 
     def __init__(self, spark: SparkSession):
         ship(spark)
-        self.spark, self.base, self.n = spark, f"{shared_folder(spark)}/attesta-{uuid.uuid4().hex}", 0
-        atexit.register(self._remove, self.base)
+        self.spark, self.base, self.n = spark, scratch_folder(spark), 0
 
     def keep(self, df: DataFrame, *, by: list[str] | None = None) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads the written files."""
@@ -59,13 +38,16 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         self._remove(df._attesta_path)
 
+    def only(self, *tables: DataFrame) -> None:
+        """Remove all tables but these, when no other is read by a later plan."""
+        kept = {t._attesta_path for t in tables}
+        for i in range(1, self.n + 1):
+            if f"{self.base}/{i}" not in kept:
+                self._remove(f"{self.base}/{i}")
+
     def _remove(self, path: str) -> None:
-        try:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
+        fs, where = file_system(self.spark, path)
+        fs.delete(where, True)
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:

@@ -116,6 +116,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_i
     """The rows of ``docs`` that hold no item, with all their columns."""
     scratch = Scratch(docs.sparkSession)
     found = contained_items(docs, items, id_col=id_col, text_col=text_col, threshold=threshold, scratch=scratch)
-    found = checked_broadcast(scratch.keep(found.select(F.col("doc_id").alias("__gone"), F.col("th").alias("__gone_th")).distinct()))
+    found = scratch.keep(found.select(F.col("doc_id").alias("__gone"), F.col("th").alias("__gone_th")).distinct())
+    scratch.only(found)
+    found = checked_broadcast(found)
     same = docs[id_col].eqNullSafe(found["__gone"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == found["__gone_th"])
     return docs.join(found, same, "left_anti")

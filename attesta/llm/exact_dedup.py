@@ -76,6 +76,7 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     stays = (F.col("row") == F.col("best.row")).alias("stays")
     settled = scratch.keep(_settled(_digests(docs, id_col, text_col, scratch), scratch, support).where("n > 1").select("doc_id", "digest", stays))
     pairs = scratch.keep(settled.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where("n > 1 OR NOT stays"))
+    scratch.only(pairs)
     key, number = fresh_names(docs, "digest", "number")
     keyed = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
 

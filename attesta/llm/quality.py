@@ -286,6 +286,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, id_col: s
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(featured(docs, id_col=id_col, text_col=text_col, metadata=metadata))
     shared = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, scratch))
+    scratch.only()
     _, names = _columns(docs, id_col, text_col, metadata)
 
     @F.pandas_udf("double")

@@ -336,11 +336,31 @@ def _parity(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) & 1023, minlength=1024) & 1).astype(np.uint8)).tobytes()
 
 
-def _verified(links: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """The ``links (u, v)`` of sets with a Jaccard index of 0.8 or more. ``sets (id, hashes)`` may repeat an id."""
-    links = scratch.keep(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+def _hashed(rows: DataFrame) -> DataFrame:
+    """(id, hashes) of rows (text): the name of a shingle set and its sorted 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                sets = [wide_shingles(t or b"", WIDE_WORDS, hasher) for t in batch.column(0).slice(start, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(_names(sets)), pa.array([h.tobytes() for h in sets], pa.binary())], ["id", "hashes"])
+
+    return rows.select("text").mapInArrow(run, "id bigint, hashes binary")
+
+
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
+
+
+def _verified(links: DataFrame, classes: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
+    """The ``links (u, v)`` of sets with a Jaccard index of 0.8 or more.
+
+    ``classes``: (id, th) with the hash of one text of each set; ``base``: (text, th). Only linked texts are read again.
+    """
     ends = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
-    held = scratch.keep(sets.join(checked_broadcast(scratch.keep(ends)), "id", "left_semi").dropDuplicates(["id"]))
+    wanted = scratch.keep(classes.join(checked_broadcast(scratch.keep(ends)), "id", "left_semi").select("th"))
+    held = scratch.keep(_hashed(base.join(checked_broadcast(wanted), "th", "left_semi").dropDuplicates(["th"])).dropDuplicates(["id"]))
     pairs = links.join(held.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u")
     pairs = pairs.join(held.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
 
@@ -352,17 +372,20 @@ def _verified(links: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(pairs.mapInArrow(run, "u bigint, v bigint"))
 
 
-def _place_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets fall on each of 2**16 places; common shingles stand out at any size."""
+def _place_counts(counted: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall on each of 2**16 places; common shingles stand out at any size.
+
+    ``counted``: one row a task, ``counts`` with its number for each place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                np.add.at(total, (np.frombuffer(x.as_py(), "<u8") & np.uint64(0xFFFF)).astype(np.int64), 1)
+                total += np.frombuffer(x.as_py(), "<i8")
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << 16)), pa.array(total)], ["place", "n"])
 
-    counted = sets.select("hashes").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counted = counted.select("counts").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << 16, np.int64)
     out[counted["place"].to_numpy()] = counted["n"].to_numpy()
     return out
@@ -468,26 +491,22 @@ def _pruned(links: DataFrame, info: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(pairs.mapInArrow(run, "u bigint, v bigint"))
 
 
-def _prefix_links(sets: DataFrame, info: DataFrame, scratch: Scratch) -> DataFrame:
+def _prefix_links(base: DataFrame, counted: DataFrame, info: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidates (u, v) of different groups, with every pair of index 0.8 or more among them.
 
     Such a pair shares a shingle among the first n - ceil(0.8 n) + 1 of each, in any one order of all shingles. Common
     shingles come last in it, so that a passage of many texts brings no pairs.
     """
-    spark = sets.sparkSession
-    common = spark.sparkContext.broadcast(_place_counts(sets))  # 2**16 numbers
+    spark = base.sparkSession
+    common = spark.sparkContext.broadcast(_place_counts(counted))  # 2**16 numbers
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = common.value, set()
+        count, hasher = common.value, WordHasher()
         for batch in batches:
             for start in range(0, len(batch), 500):
-                part, tokens, owners = batch.slice(start, 500), [], []
-                for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    if i in seen:
-                        continue
-                    seen.add(i)
-                    h = np.frombuffer(x.as_py(), "<u8")
+                sets, tokens, owners = [wide_shingles(t or b"", WIDE_WORDS, hasher) for t in batch.column(0).slice(start, 500).to_pylist()], [], []
+                for i, h in zip(_names(sets).tolist(), sets, strict=True):
                     if n := len(h):
                         first = np.lexsort((h, count[(h & np.uint64(0xFFFF)).astype(np.int64)]))[: n - (4 * n + 4) // 5 + 1]
                         tokens.append(h[first].view(np.int64))
@@ -495,7 +514,7 @@ def _prefix_links(sets: DataFrame, info: DataFrame, scratch: Scratch) -> DataFra
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], ["token", "id"])
 
-    tokens = sets.select("id", "hashes").mapInArrow(run, "token bigint, id bigint")
+    tokens = base.select("text").mapInArrow(run, "token bigint, id bigint")
     shared = scratch.keep(tokens.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(_runs(_shared), "token bigint, id bigint, many boolean"))
     # Parities travel only with tokens of many texts; the others' few pairs get them once, afterwards.
     known = shared.join(info.select("id", "grp", "n", "bits"), "id").select("token", "id", "grp", "n", F.when(F.col("many"), F.col("bits")).alias("bits"))
@@ -512,23 +531,29 @@ def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     the stars miss are found by a prefix filter, which loses none, between the groups linked so far, and verified alike.
     So keys and tokens of a text do not grow with the number of texts, and no document goes that has no partner at 0.8.
     """
+    if words != WIDE_WORDS:
+        raise ValueError("the wide form takes shingles of five words")
     scratch = scratch or Scratch(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).withColumn("th", F.xxhash64("text"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, places, kind = WordHasher(), np.zeros(1 << 16, np.int64), None
+        names = ["doc_id", "th", "id", "fp", "n", "bits", "counts"]
         for batch in batches:
+            kind = batch.schema.field(0).type
             for start in range(0, len(batch), 256):
-                part, rows = batch.slice(start, 256), []
-                for t in part.column(1).to_pylist():
-                    h = wide_shingles(t or b"", words, hasher)
-                    rows.append((xxhash.xxh64_intdigest(h.tobytes(), 42), wide_fingerprint(h), len(h), _parity(h), h.tobytes()))
-                ids, fps, sizes, bits, hashes = zip(*rows, strict=True)
-                columns = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(hashes, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "id", "fp", "n", "bits", "hashes"])
-
-    sets = scratch.keep(base.mapInArrow(sets_of, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, id bigint, fp binary, n bigint, bits binary, hashes binary"))
-    classes = scratch.keep(sets.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("fp", "n", "bits")]))
+                part = batch.slice(start, 256)
+                sets = [wide_shingles(t, WIDE_WORDS, hasher) for t in part.column(1).to_pylist()]
+                places += np.bincount((np.concatenate(sets) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+                columns = [pa.array(_names(sets)), pa.array(list(map(wide_fingerprint, sets)), pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(map(_parity, sets)), pa.binary()), pa.nulls(len(sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], names)
+        if kind is not None:
+            one = [pa.nulls(1, kind), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())), pa.array([places.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(one, names)
+
+    kept = scratch.keep(base.mapInArrow(sets_of, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, th bigint, id bigint, fp binary, n bigint, bits binary, counts binary"))
+    sets, counted = kept.where("counts IS NULL").drop("counts"), kept.where("counts IS NOT NULL")
+    classes = scratch.keep(sets.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("th", "fp", "n", "bits")]))
     prints = scratch.keep(classes.groupBy("fp").agg(F.min("id").alias("least")))
     tables = sampled_keys(prints.count())
 
@@ -546,10 +571,10 @@ def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stars = dealt.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars(radius, 2), "u binary, v binary").distinct()
     stars = stars.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
     stars = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(classes.join(prints, "fp").select(F.col("id").alias("u"), F.col("least").alias("v")))
-    near = _verified(_pruned(stars, classes, scratch), sets, scratch)
+    near = _verified(_pruned(stars, classes, scratch), classes, base, scratch)
     found = components(near, scratch).withColumnRenamed("u", "id")
     info = scratch.keep(classes.join(found, "id", "left").select("id", "n", "bits", F.coalesce("root", "id").alias("grp")))
-    near = near.unionByName(_verified(_prefix_links(sets, info, scratch), sets, scratch))
+    near = near.unionByName(_verified(_prefix_links(base, counted, info, scratch), classes, base, scratch))
     ids = sets.select("doc_id", F.col("id").alias("fp"))
     return _settle(ids, classes.select(F.col("id").alias("fp"), "first"), near, scratch)
 
@@ -562,5 +587,6 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession)
     groups = groups(docs, id_col=id_col, text_col=text_col, scratch=scratch)
     gone = scratch.keep(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    scratch.only(gone)
     gone = checked_broadcast(gone)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
