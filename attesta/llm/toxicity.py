@@ -87,11 +87,14 @@ class Field:
 
     def _batch(self, theta: np.ndarray, f: np.ndarray, mask: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """P(label 1) per token and expected moves, over padded sentences of feature ids (0: none) that stand ``times``."""
-        k = len(self.weights)
-        w, m, start = theta[:k].copy(), np.exp(theta[k : k + 4].reshape(2, 2)), theta[-1]
-        always, w[0] = w[0], 0.0
-        e = np.exp(np.clip(always + w[f].sum(2), -30, 30))
-        n, length = mask.shape
+        at, slot = np.nonzero(f.reshape(-1, f.shape[2]))
+        return self._expected(theta, at, f.reshape(-1, f.shape[2])[at, slot], mask, times)
+
+    def _expected(self, theta: np.ndarray, at: np.ndarray, ids: np.ndarray, mask: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the features that there are: token ``at`` (counted through all sentences) has feature ``ids``."""
+        k, (n, length) = len(self.weights), mask.shape
+        w, m, start = theta[:k], np.exp(theta[k : k + 4].reshape(2, 2)), theta[-1]
+        e = np.exp(np.clip(w[0] + np.bincount(at, w[ids], n * length).reshape(n, length), -30, 30))
         times = np.ones(n) if times is None else times
         fwd, bwd = np.ones((length, n, 2)), np.ones((length, n, 2))
         fwd[0, :, 1] = e[:, 0] * np.exp(start)
@@ -119,16 +122,14 @@ class Field:
             like.setdefault(len(s[0]).bit_length(), []).append(s)
         parts, seen, moved, first_label = [], np.zeros(k), np.zeros((2, 2)), 0.0
         for part in like.values():
-            n, length, width = len(part), max(len(s[0]) for s in part), max(1, max(len(ids) for s in part for ids in s[0]))
-            f, y, mask = np.zeros((n, length, width), np.int32), np.zeros((n, length), bool), np.zeros((n, length), bool)
-            times = np.array([t for _, _, t in part], float)
+            n, length = len(part), max(len(s[0]) for s in part)
+            y, mask, times = np.zeros((n, length), bool), np.zeros((n, length), bool), np.array([t for _, _, t in part], float)
             for i, (s, of, _) in enumerate(part):
                 y[i, : len(s)], mask[i, : len(s)] = of, True
-                for t, ids in enumerate(s):
-                    f[i, t, : len(ids)] = ids
-            at, slot = np.nonzero(f.reshape(-1, width))
-            parts.append((f, mask, times, at, f.reshape(-1, width)[at, slot]))
-            seen += self._tally(y.astype(float), *parts[-1][2:])
+            has = [(i * length + t, x) for i, (s, _, _) in enumerate(part) for t, ids in enumerate(s) for x in ids]
+            at, ids = np.array(has, np.int64).reshape(-1, 2).T
+            parts.append((mask, times, at, ids))
+            seen += self._tally(y.astype(float), times, at, ids)
             pairs = (times[:, None] * mask[:, 1:]).ravel()
             moved += np.bincount((2 * y[:, :-1] + y[:, 1:]).ravel(), pairs, 4).reshape(2, 2)
             first_label += times @ y[:, 0]
@@ -136,8 +137,8 @@ class Field:
         first, second = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, steps + 1):
             grad = np.r_[seen, moved.ravel(), first_label]
-            for f, mask, times, at, ids in parts:
-                p, pair = self._batch(theta, f, mask, times)
+            for mask, times, at, ids in parts:
+                p, pair = self._expected(theta, at, ids, mask, times)
                 grad -= np.r_[self._tally(p, times, at, ids), pair.ravel(), times @ p[:, 0]]
             grad = (grad - decay * theta) / total
             first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
