@@ -5,11 +5,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_dedup import jaccard_pairs
+from test_text_scans import cut
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from attesta.llm import queries
+from attesta.llm import quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,16 +21,41 @@ def test_registered():
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
 
 
+def smallest_of_each(ids, texts):
+    """The smallest id of each component of texts with a Jaccard index of 0.8 or more, by all pairs."""
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in jaccard_pairs(texts):
+        a, b = sorted((find(ids[a]), find(ids[b])))
+        up[b] = a
+    return {i for i in ids if find(i) == i}
+
+
 def test_stages(spark):
     """Each stage against a plain version of its rule; columns stay; the last encodes what is left."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs.toPandas()
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_before = docs
         docs = stage(spark, docs, SF)
         after = docs.toPandas()
         assert docs.columns == columns and set(after["doc_id"]) <= set(before["doc_id"]) and len(after) > 0.6 * len(before)
+        if name == "quality classifier":
+            scored = quality.classify(docs_before, spark.read.parquet(f"{SF}/labels.parquet"))
+            assert set(after["doc_id"]) == {r.doc_id for r in scored.where("predicted = 1").collect()}
         if name == "exact dedup":
             assert sorted(after["doc_id"]) == sorted(before.groupby("text")["doc_id"].max())
+        if name == "simhash near-dedup":
+            assert set(after["doc_id"]) == smallest_of_each(list(before["doc_id"]), list(before["text"]))
+        if name == "benchmark decontamination":
+            items = [cut(t) for t in spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()["text"]]
+            leaks = {i for i, t in zip(before["doc_id"], before["text"], strict=True) for q in items if q and len(q & cut(t)) >= 0.8 * len(q)}
+            assert set(after["doc_id"]) == set(before["doc_id"]) - leaks
         docs, before = spark.createDataFrame(after), after
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = {r.doc_id: r.ids for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
@@ -63,8 +90,12 @@ def test_long_text(spark):
     words = np.array(["the", "and", "ing", "tion", "ou", "ré", "ß"])
     long = " ".join(words[rng.integers(0, len(words), 60_000)])
     df = spark.createDataFrame([(1, long), (2, long + " x"), (3, "y")], "doc_id long, text string")
-    from attesta.llm import bpe, decontaminate, license_scan, line_dedup, simhash
+    from attesta.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, pii, secrets, simhash, toxicity
 
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 1), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    assert exact_dedup.exact_groups(df).where("kept").count() == 3 and quality.classify(df, labels).count() == 3
+    assert toxicity.score(df, labels).count() == 3
+    assert pii.scan(df).where("n_spans = 0").count() == 3 and secrets.scan(df).where("n_format = 0").count() == 3
     assert simhash.near_groups(df).where("component_id = 1").count() == 2
     assert line_dedup.dedup_lines(df).agg(F.sum(F.length("text"))).first()[0] == 2 * len(long) + 3
     item = spark.createDataFrame([(9, " ".join(long.split()[40_000:40_030]))], "item_id long, text string")
