@@ -237,14 +237,14 @@ def test_chain_component(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
-@pytest.mark.parametrize("n", [1, 2, 5])
+@pytest.mark.parametrize("n", [1, 4])
 def test_near_groups_of_few_documents(spark, n):
     """More shuffle partitions than rows: tasks without rows give nothing."""
     words = "one two three four five six seven eight nine ten eleven twelve".split()
     rows = [(i, " ".join(words + [str(i)] * (i > 2))) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
     try:
         for groups in (simhash.near_groups, simhash.wide_groups):
             got = {r.doc_id: r.component_id for r in groups(df).collect()}
