@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept with their ids by a worker, and cells of its transition table; when there are more, all are forgotten.
-MEMO, CELLS = 400_000, 2_000_000
+MEMO, CELLS = 400_000, 300_000
 _NEVER = 1 << 60
 
 # The pattern of the vocabulary file, with white space named as that file's regex engine knows it.
@@ -202,6 +202,11 @@ class Codec:
                 ids += map(self.memo.__getitem__, _WORDS.findall(part))
         return b"".join(ids)
 
+    def forget(self) -> None:
+        """Give back what was filled in, as the automaton outlives the task in its worker."""
+        self.memo.clear()
+        self.automaton._cells, self.automaton._nodes = {}, None
+
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.automaton.labels.__getitem__, array("I", ids)))
 
@@ -216,6 +221,7 @@ def _apply(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str,
                 part = batch.slice(start, 512)
                 columns = zip(*[row(codec, text or "") for text in part.column(1).to_pylist()], strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns, types)], names)
+        codec.forget()
 
     fields = [f.strip().split(" ") for f in schema.split(",")]
     kinds = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
