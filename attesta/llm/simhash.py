@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Scratch, checked_broadcast
+from attesta.llm.common import Scratch, checked_broadcast, lean
 
 #: Words of a shingle; bits that may differ; fingerprints of a shard before it is split; tree visits held at once.
 WORDS, RADIUS, SHARD_ROWS, VISITS = 3, 3, 100_000, 2_000_000
 #: The wide form: words of a shingle; bits of 128 that may differ; tables of sampled bits, as many at every size; rows
 #: of a token up to which its pairs are formed without a look at their parities.
 WIDE_WORDS, WIDE_RADIUS, WIDE_TABLES, FEW = 5, 26, 12, 32
+#: Share of all shingle hashes up to which what links carry with them is on disk at a time; more links go in parts.
+CARRIED = 0.25
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -61,7 +64,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 class Forest:
@@ -245,7 +248,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     prints = scratch.keep(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
     classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     dealt = shards(classes.select("fp"), shard_rows)
-    stars = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars(RADIUS, 1), "u bigint, v bigint")
+    stars = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "fp").mapInArrow(lean(_stars(RADIUS, 1)), "u bigint, v bigint")
     return _settle(prints, classes, stars, scratch)
 
 
@@ -336,6 +339,31 @@ def _parity(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) & 1023, minlength=1024) & 1).astype(np.uint8)).tobytes()
 
 
+def _long_parity(hashes: np.ndarray) -> bytes | None:
+    """As :func:`_parity` on two bits a hash or more, as 1024 are all alike for long texts; None for up to 512 hashes."""
+    if len(hashes) <= 512:
+        return None
+    width = 1 << (2 * len(hashes) - 1).bit_length()
+    return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def _long_match(a: bytes, b: bytes, both: int) -> bool:
+    """As :func:`_may_match` for two maps of :func:`_long_parity`; the larger is folded to the smaller. ``both``: hashes of both."""
+    a, b = (np.frombuffer(x, np.uint8) for x in (a, b))
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return 9 * int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) <= both
+
+
+def _parts(links: DataFrame, most: float, each) -> list[DataFrame]:
+    """``links (u, v, n_u, n_v)`` in parts of about ``most`` bytes, at ``each`` bytes a shingle of both ends."""
+    size = links.agg(F.coalesce(F.sum(F.col("n_u") + F.col("n_v")), F.lit(0))).first()[0] * each
+    n = max(1, math.ceil(size / max(most, 1)))
+    return [links.where(F.pmod(F.xxhash64("u"), F.lit(n)) == i) if n > 1 else links for i in range(n)]
+
+
 def _hashed(rows: DataFrame) -> DataFrame:
     """(id, hashes) of rows (text): the name of a shingle set and its sorted 64-bit hashes."""
 
@@ -346,30 +374,36 @@ def _hashed(rows: DataFrame) -> DataFrame:
                 sets = [wide_shingles(t or b"", WIDE_WORDS, hasher) for t in batch.column(0).slice(start, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(_names(sets)), pa.array([h.tobytes() for h in sets], pa.binary())], ["id", "hashes"])
 
-    return rows.select("text").mapInArrow(run, "id bigint, hashes binary")
+    return rows.select("text").mapInArrow(lean(run), "id bigint, hashes binary")
 
 
 def _names(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
 
 
-def _verified(links: DataFrame, classes: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
-    """The ``links (u, v)`` of sets with a Jaccard index of 0.8 or more.
+def _verified(links: DataFrame, classes: DataFrame, base: DataFrame, scratch: Scratch, most: float) -> DataFrame:
+    """The ``links (u, v, n_u, n_v)`` of sets with a Jaccard index of 0.8 or more.
 
-    ``classes``: (id, th) with the hash of one text of each set; ``base``: (text, th). Only linked texts are read again.
+    ``classes``: (id, th) with the hash of one text of each set; ``base``: (text, th). Only linked texts are read again,
+    in parts of links that carry about ``most`` bytes.
     """
-    ends = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
-    wanted = scratch.keep(classes.join(checked_broadcast(scratch.keep(ends)), "id", "left_semi").select("th"))
-    held = scratch.keep(_hashed(base.join(checked_broadcast(wanted), "th", "left_semi").dropDuplicates(["th"])).dropDuplicates(["id"]))
-    pairs = links.join(held.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u")
-    pairs = pairs.join(held.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [_similar(np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return scratch.keep(pairs.mapInArrow(run, "u bigint, v bigint"))
+    out = []
+    for part in _parts(links, most, 8):
+        ends = scratch.keep(part.select(F.col("u").alias("id")).unionByName(part.select(F.col("v").alias("id"))).distinct())
+        wanted = scratch.keep(classes.join(checked_broadcast(ends), "id", "left_semi").select("th"))
+        held = scratch.keep(_hashed(base.join(checked_broadcast(wanted), "th", "left_semi").dropDuplicates(["th"])).dropDuplicates(["id"]))
+        pairs = part.select("u", "v").join(held.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u")
+        pairs = pairs.join(held.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
+        out.append(scratch.keep(pairs.mapInArrow(lean(run), "u bigint, v bigint")))
+        for done in (ends, wanted, held):
+            scratch.drop(done)
+    return reduce(DataFrame.unionByName, out)
 
 
 def _place_counts(counted: DataFrame) -> np.ndarray:
@@ -385,7 +419,7 @@ def _place_counts(counted: DataFrame) -> np.ndarray:
                 total += np.frombuffer(x.as_py(), "<i8")
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << 16)), pa.array(total)], ["place", "n"])
 
-    counted = counted.select("counts").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counted = counted.select("counts").mapInArrow(lean(run), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << 16, np.int64)
     out[counted["place"].to_numpy()] = counted["n"].to_numpy()
     return out
@@ -476,22 +510,42 @@ def _may_match(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np
     return 9 * np.bitwise_count(a ^ b).sum(1, np.int64) <= n + m
 
 
-def _pruned(links: DataFrame, info: DataFrame, scratch: Scratch) -> DataFrame:
-    """The distinct ``links (u, v)`` whose sizes and parities allow an index of 0.8."""
-    side = lambda name: info.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+def _pruned(links: DataFrame, info: DataFrame, scratch: Scratch, most: float) -> DataFrame:
+    """The distinct ``links (u, v)``, with the sizes ``n_u`` and ``n_v``, whose sizes and parities allow an index of 0.8.
+
+    The short parities come first; the long ones of what they leave are dealt in parts of about ``most`` bytes.
+    """
+
+    def ends(pairs: DataFrame, *columns: str) -> DataFrame:
+        for name in "uv":
+            pairs = pairs.join(info.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns]), name)
+        return pairs
+
     pairs = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    pairs = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+    pairs = ends(pairs, "n", "bits").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+    schema = "u bigint, v bigint, n_u bigint, n_v bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, 16) for i in (4, 5))
-            yield batch.select(["u", "v"]).filter(pa.array((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & _may_match(a, b, n, m)))
+            yield batch.select(["u", "v", "n_u", "n_v"]).filter(pa.array((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & _may_match(a, b, n, m)))
+
+    def run_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i) for i in range(2, 6)), strict=True)
+            ok = [not a.is_valid or not b.is_valid or _long_match(a.as_py(), b.as_py(), n.as_py() + m.as_py()) for n, m, a, b in rows]
+            yield batch.select(["u", "v", "n_u", "n_v"]).filter(pa.array(ok, pa.bool_()))
 
-    return scratch.keep(pairs.mapInArrow(run, "u bigint, v bigint"))
+    pairs, out = scratch.keep(pairs.mapInArrow(lean(run), schema)), []
+    for part in _parts(pairs, most, 0.5):
+        part = ends(part, "wide").select("u", "v", "n_u", "n_v", "wide_u", "wide_v")
+        out.append(scratch.keep(part.mapInArrow(lean(run_long), schema)))
+    scratch.drop(pairs)
+    return reduce(DataFrame.unionByName, out)
 
 
-def _prefix_links(base: DataFrame, counted: DataFrame, info: DataFrame, scratch: Scratch) -> DataFrame:
+def _prefix_links(base: DataFrame, counted: DataFrame, info: DataFrame, scratch: Scratch, most: float) -> DataFrame:
     """Candidates (u, v) of different groups, with every pair of index 0.8 or more among them.
 
     Such a pair shares a shingle among the first n - ceil(0.8 n) + 1 of each, in any one order of all shingles. Common
@@ -514,12 +568,12 @@ def _prefix_links(base: DataFrame, counted: DataFrame, info: DataFrame, scratch:
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], ["token", "id"])
 
-    tokens = base.select("text").mapInArrow(run, "token bigint, id bigint")
-    shared = scratch.keep(tokens.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(_runs(_shared), "token bigint, id bigint, many boolean"))
+    tokens = base.select("text").mapInArrow(lean(run), "token bigint, id bigint")
+    shared = scratch.keep(tokens.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(lean(_runs(_shared)), "token bigint, id bigint, many boolean"))
     # Parities travel only with tokens of many texts; the others' few pairs get them once, afterwards.
     known = shared.join(info.select("id", "grp", "n", "bits"), "id").select("token", "id", "grp", "n", F.when(F.col("many"), F.col("bits")).alias("bits"))
-    pairs = known.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(_runs(_across), "u bigint, v bigint")
-    return _pruned(pairs, info, scratch)
+    pairs = known.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(lean(_runs(_across)), "u bigint, v bigint")
+    return _pruned(pairs, info, scratch, most)
 
 
 def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, scratch: Scratch | None = None) -> DataFrame:
@@ -538,22 +592,23 @@ def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, places, kind = WordHasher(), np.zeros(1 << 16, np.int64), None
-        names = ["doc_id", "th", "id", "fp", "n", "bits", "counts"]
+        names = ["doc_id", "th", "id", "fp", "n", "bits", "wide", "counts"]
         for batch in batches:
             kind = batch.schema.field(0).type
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 sets = [wide_shingles(t, WIDE_WORDS, hasher) for t in part.column(1).to_pylist()]
                 places += np.bincount((np.concatenate(sets) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
-                columns = [pa.array(_names(sets)), pa.array(list(map(wide_fingerprint, sets)), pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(map(_parity, sets)), pa.binary()), pa.nulls(len(sets), pa.binary())]
+                columns = [pa.array(_names(sets)), pa.array(list(map(wide_fingerprint, sets)), pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(map(_parity, sets)), pa.binary()), pa.array(list(map(_long_parity, sets)), pa.binary()), pa.nulls(len(sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], names)
         if kind is not None:
-            one = [pa.nulls(1, kind), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())), pa.array([places.tobytes()], pa.binary())]
+            one = [pa.nulls(1, kind), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())), pa.array([places.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(one, names)
 
-    kept = scratch.keep(base.mapInArrow(sets_of, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, th bigint, id bigint, fp binary, n bigint, bits binary, counts binary"))
+    kept = scratch.keep(base.mapInArrow(lean(sets_of), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, th bigint, id bigint, fp binary, n bigint, bits binary, wide binary, counts binary"))
     sets, counted = kept.where("counts IS NULL").drop("counts"), kept.where("counts IS NOT NULL")
-    classes = scratch.keep(sets.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("th", "fp", "n", "bits")]))
+    classes = scratch.keep(sets.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("th", "fp", "n", "bits", "wide")]))
+    most = CARRIED * 8 * (classes.agg(F.sum("n")).first()[0] or 0)
     prints = scratch.keep(classes.groupBy("fp").agg(F.min("id").alias("least")))
     tables = sampled_keys(prints.count())
 
@@ -566,15 +621,15 @@ def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 key = np.stack([bits[:, p] @ power for p in places], 1) + (np.arange(len(places)) << 40)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array([f for f in fps for _ in places], pa.binary())], ["shard", "fp"])
 
-    dealt = prints.select("fp").mapInArrow(keys_of, "shard bigint, fp binary")
+    dealt = prints.select("fp").mapInArrow(lean(keys_of), "shard bigint, fp binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stars = dealt.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars(radius, 2), "u binary, v binary").distinct()
+    stars = dealt.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(lean(_stars(radius, 2)), "u binary, v binary").distinct()
     stars = stars.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
     stars = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(classes.join(prints, "fp").select(F.col("id").alias("u"), F.col("least").alias("v")))
-    near = _verified(_pruned(stars, classes, scratch), classes, base, scratch)
+    near = _verified(_pruned(stars, classes, scratch, most), classes, base, scratch, most)
     found = components(near, scratch).withColumnRenamed("u", "id")
-    info = scratch.keep(classes.join(found, "id", "left").select("id", "n", "bits", F.coalesce("root", "id").alias("grp")))
-    near = near.unionByName(_verified(_prefix_links(base, counted, info, scratch), classes, base, scratch))
+    info = scratch.keep(classes.join(found, "id", "left").select("id", "n", "bits", "wide", F.coalesce("root", "id").alias("grp")))
+    near = near.unionByName(_verified(_prefix_links(base, counted, info, scratch, most), classes, base, scratch, most))
     ids = sets.select("doc_id", F.col("id").alias("fp"))
     return _settle(ids, classes.select(F.col("id").alias("fp"), "first"), near, scratch)
 

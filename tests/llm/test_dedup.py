@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -351,3 +353,59 @@ def test_tokens_of_many_texts(spark, monkeypatch):
         up[b] = a
     assert want == {i: find(i) for i, _ in rows}
     assert len(set(want.values())) > 1
+
+
+def test_parities_of_long_sets():
+    """1024 parities are all alike for two sets of 3000; as many as the sets need tell them apart, and lose no pair at 0.8."""
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 1 << 64, 40_000, np.uint64, endpoint=False))
+    apart = h[:3000], np.sort(np.r_[h[:1500], h[5000:6500]])
+    assert not simhash._long_match(*map(simhash._long_parity, apart), 6000)
+    for n in (513, 1023, 1025, 3000, 16_500):
+        for m in (math.ceil(0.8 * n), n):
+            shared = math.ceil((n + m) * 4 / 9)
+            a, b = np.sort(h[:n]), np.sort(np.r_[h[:shared], h[20_000 : 20_000 + m - shared]])
+            maps = simhash._long_parity(a), simhash._long_parity(b)
+            assert None in maps or (simhash._long_match(*maps, n + m) and simhash._long_match(*maps[::-1], n + m))
+    assert simhash._long_parity(h[:512]) is None
+
+
+def test_links_in_parts(spark, monkeypatch):
+    """However little may be carried at a time, the same documents are linked."""
+    rng, texts = np.random.default_rng(5), []
+    for _ in range(4):
+        words = [f"w{x}" for x in rng.integers(0, 9999, 700)]
+        texts += [" ".join(words[:at] + [f"x{at}"] + words[at + 1 :]) for at in (10, 300, 600)]
+    table, parts, made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), simhash._parts, []
+    monkeypatch.setattr(simhash, "_parts", lambda *args: made.append(parts(*args)) or made[-1])
+    monkeypatch.setattr(simhash, "CARRIED", 0.6)
+    assert {r.doc_id: r.component_id for r in simhash.wide_groups(table).collect()} == {i: i // 3 * 3 for i in range(12)}
+    assert max(map(len, made)) > 1
+
+
+def test_scratch_leaves_no_shuffle_files(spark):
+    from pathlib import Path
+
+    from attesta.llm.common import Scratch
+
+    def files():
+        base = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+        return {p for p in base.rglob("shuffle_*.data")}
+
+    before = files()
+    kept = Scratch(spark).keep(spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).count())
+    assert kept.count() == 97
+    for _ in range(20):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert len(left) <= 1, left  # that of the count
+
+
+def test_lean_workers(spark, monkeypatch):
+    """Workers are left without free memory by every task of the pipeline's Python operators."""
+    from attesta.llm import common
+
+    said = []
+    monkeypatch.setattr(common, "give_back", lambda: said.append(1))
+    assert list(common.lean(lambda batches: iter(list(batches)))(iter("ab"))) == ["a", "b"] and said == [1]
