@@ -33,8 +33,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.common import lean
+
 #: Words kept with their ids by a worker, and cells of its transition table; when there are more, all are forgotten.
-MEMO, CELLS = 400_000, 300_000
+MEMO, CELLS = 150_000, 200_000
 _NEVER = 1 << 60
 
 # The pattern of the vocabulary file, with white space named as that file's regex engine knows it.
@@ -227,7 +229,7 @@ def _apply(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str,
     kinds = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     names, types = ["doc_id", *(n for n, _ in fields)], [kinds[k] for _, k in fields]
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, {schema}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {id_type}, {schema}")
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +262,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [" ".join(map(labels.value.__getitem__, ids or ())) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def round_trip_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Scratch, fresh_names
+from attesta.llm.common import Scratch, fresh_names, lean
 from attesta.llm.toxicity import logistic
 
 #: Labelled documents of the fit; rounds; least probability of what is handed over; cut; tokens held by a worker.
@@ -184,7 +184,7 @@ def featured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 meta = [metadata_places(dict(zip(names, values, strict=True))) for values in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)] if names else [[]] * len(part)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, ints) for c in (*text, meta))], ["doc_id", "words", "shapes", "shares", "meta"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, {_FEATURES}")
+    return base.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, {_FEATURES}")
 
 
 _PARTS = ("words", "shapes", "shares", "meta")
@@ -213,7 +213,7 @@ def _counts(rows: DataFrame, model: CoTrained | None) -> tuple[np.ndarray, list[
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "place", "n"])
 
     label = F.col("label") if model is None else F.lit(-1)
-    parts = rows.select(*_PARTS, label.cast("int").alias("label")).mapInArrow(run, "k int, place int, n bigint")
+    parts = rows.select(*_PARTS, label.cast("int").alias("label")).mapInArrow(lean(run), "k int, place int, n bigint")
     table = parts.groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()  # at most two rows a place
     k, place, n = (table[c].to_numpy() for c in ("k", "place", "n"))
     counts, handed = np.zeros((2, _SIZE), np.int64), [0, 0]
@@ -232,7 +232,7 @@ def _evidence(rows: DataFrame, model: CoTrained) -> tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), *(pa.array(x[:, i]) for i in (1, 2, 3))], ["doc_id", "label", "a", "b", "c"])
 
     parts = rows.select(*_PARTS, "doc_id", F.col("label").cast("int").alias("label"))
-    found = parts.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, a double, b double, c double").orderBy("doc_id").toPandas()
+    found = parts.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, a double, b double, c double").orderBy("doc_id").toPandas()
     x = found[["a", "b", "c"]].to_numpy(float).reshape(-1, 3)
     return np.c_[np.ones(len(x)), x], found["label"].to_numpy(float)
 
@@ -278,7 +278,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, id_col: st
             found = model.scores(model.evidence(Features(*(batch.column(i) for i in range(4)))))
             yield pa.RecordBatch.from_arrays([batch.column(4), *map(pa.array, found), pa.array((found[2] >= cut).astype(np.int32))], ["doc_id", "text_score", "metadata_score", "score", "predicted"])
 
-    return rows.select(*_PARTS, "doc_id").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_score double, metadata_score double, score double, predicted int")
+    return rows.select(*_PARTS, "doc_id").mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_score double, metadata_score double, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = METADATA) -> DataFrame:
