@@ -472,37 +472,72 @@ def _pairs_of_few(token: np.ndarray, ids: np.ndarray, group: np.ndarray, size: n
     return pairs[:, 0], pairs[:, 1]
 
 
-def _across(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(u, v) of each token's ids in different groups whose sizes allow an index of 0.8, and parities if they are many."""
-    token, ids, group, size = (table.column(i).to_numpy() for i in range(4))
-    many = table.column(4).is_valid().to_numpy()
-    u, v = _pairs_of_few(token[~many], ids[~many], group[~many], size[~many])
-    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-    if not many.any():
-        return
-    token, ids, group, size = (x[many] for x in (token, ids, group, size))
-    bits = np.frombuffer(b"".join(table.column(4).drop_null().to_pylist()), "<u8").reshape(-1, 16)
-    edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
-    us, vs, held = [], [], 0
-    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        g = group[lo:hi]
-        if (g == g[0]).all():
-            continue
-        names, place, count = np.unique(g, return_inverse=True, return_counts=True)
-        # Each pair of two groups has an end outside the largest; of two such ends the earlier one looks for the other.
-        rank = np.where(place == count.argmax(), hi - lo, np.arange(hi - lo))
-        for i in np.flatnonzero(rank < hi - lo).tolist():
-            j = lo + np.flatnonzero((rank > i) & (g != g[i]) & (5 * np.minimum(size[lo:hi], size[lo + i]) >= 4 * np.maximum(size[lo:hi], size[lo + i])))
-            j = j[_may_match(bits[j], bits[lo + i], size[j], size[lo + i])]
-            if len(j):
-                us.append(np.full(len(j), ids[lo + i]))
-                vs.append(ids[j])
-                held += len(j)
-            if held > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-                us, vs, held = [], [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) of a minimum spanning forest over the groups of ``label``; of equal weights the first goes."""
+    order = np.argsort(weight, kind="stable")
+    kept, rest = [], np.arange(len(order))
+    while True:
+        x, y = label[a[order[rest]]], label[b[order[rest]]]
+        rest, x, y = rest[x != y], x[x != y], y[x != y]
+        if not len(rest):
+            return order[np.sort(np.concatenate(kept))] if kept else order[:0]
+        least = np.full(len(label), len(order))
+        np.minimum.at(least, np.concatenate([x, y]), np.concatenate([rest, rest]))
+        kept.append(np.unique(least[least < len(order)]))
+        label = _connected(label, a[order[kept[-1]]], b[order[kept[-1]]])
+
+
+def _across(whole: bool):
+    """A function over tables (token, id, grp, n, bits): (u, v) of each token's ids in different groups whose sizes, and
+    parities if they are many, allow an index of 0.8.
+
+    ``whole``: all pairs of tokens of many ids, else a spanning forest of them, of the likeliest: as many as ids at most.
+    """
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, ids, group, size = (table.column(i).to_numpy() for i in range(4))
+        many = table.column(4).is_valid().to_numpy()
+        u, v = _pairs_of_few(token[~many], ids[~many], group[~many], size[~many])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        if not many.any():
+            return
+        token, ids, group, size = (x[many] for x in (token, ids, group, size))
+        bits = np.frombuffer(b"".join(table.column(4).drop_null().to_pylist()), "<u8").reshape(-1, 16)
+        edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for a, b in _pairs_of_many(group[lo:hi], size[lo:hi], bits[lo:hi], whole):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][a]), pa.array(ids[lo:hi][b])], ["u", "v"])
+
+    return run
+
+
+def _pairs_of_many(group: np.ndarray, size: np.ndarray, bits: np.ndarray, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of :func:`_across` of one token, as places, in pieces."""
+    _, first, place, count = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+    # Each pair of two groups has an end outside the largest; of two such ends the earlier one looks for the other.
+    rank = np.where(place == count.argmax(), len(group), np.arange(len(group)))
+    parts, held = [], 0
+
+    def taken() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+        some = slice(None) if whole else _forest(first[place], a, b, weight)
+        return a[some], b[some], weight[some]
+
+    for i in np.flatnonzero(rank < len(group)).tolist():
+        j = np.flatnonzero((rank > i) & (group != group[i]) & (5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i])))
+        j = j[_may_match(bits[j], bits[i], size[j], size[i])]
+        if len(j):
+            parts.append((np.full(len(j), i), j, np.bitwise_count(bits[j] ^ bits[i]).sum(1, np.int64) / (size[j] + size[i])))
+            held += len(j)
+        if held > 100_000 + 2 * len(group):
+            a, b, weight = taken()
+            if whole:
+                yield a, b
+            # A forest of all pairs lies within the forest of some and the other pairs.
+            parts = [] if whole else [(a, b, weight)]
+            held = 0 if whole else len(a)
+    if parts:
+        yield taken()[:2]
 
 
 def _may_match(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -545,8 +580,8 @@ def _pruned(links: DataFrame, info: DataFrame, scratch: Scratch, most: float) ->
     return reduce(DataFrame.unionByName, out)
 
 
-def _prefix_links(base: DataFrame, counted: DataFrame, info: DataFrame, scratch: Scratch, most: float) -> DataFrame:
-    """Candidates (u, v) of different groups, with every pair of index 0.8 or more among them.
+def _shared_tokens(base: DataFrame, counted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, id, many) with a token in common for each pair of an index of 0.8 or more.
 
     Such a pair shares a shingle among the first n - ceil(0.8 n) + 1 of each, in any one order of all shingles. Common
     shingles come last in it, so that a passage of many texts brings no pairs.
@@ -569,10 +604,15 @@ def _prefix_links(base: DataFrame, counted: DataFrame, info: DataFrame, scratch:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], ["token", "id"])
 
     tokens = base.select("text").mapInArrow(lean(run), "token bigint, id bigint")
-    shared = scratch.keep(tokens.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(lean(_runs(_shared)), "token bigint, id bigint, many boolean"))
+    return scratch.keep(tokens.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(lean(_runs(_shared)), "token bigint, id bigint, many boolean"))
+
+
+def _prefix_links(shared: DataFrame, info: DataFrame, scratch: Scratch, most: float, whole: bool) -> DataFrame:
+    """Candidates (u, v, n_u, n_v) of different groups that share a token; of tokens of many ids all only if ``whole``."""
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Parities travel only with tokens of many texts; the others' few pairs get them once, afterwards.
     known = shared.join(info.select("id", "grp", "n", "bits"), "id").select("token", "id", "grp", "n", F.when(F.col("many"), F.col("bits")).alias("bits"))
-    pairs = known.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(lean(_runs(_across)), "u bigint, v bigint")
+    pairs = known.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(lean(_runs(_across(whole))), "u bigint, v bigint")
     return _pruned(pairs, info, scratch, most)
 
 
@@ -583,6 +623,8 @@ def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     by sampled bits in a fixed number of tables; trees and stars are as in :func:`near_groups`. The stars are candidates
     only: each link is held against the exact index of the shingle sets (64-bit hashes of distinct shingles). Pairs that
     the stars miss are found by a prefix filter, which loses none, between the groups linked so far, and verified alike.
+    Where many texts share a token it first gives a forest of its pairs, so that a large group of near copies is joined by
+    as many links as it has texts; then all pairs whose texts are still in different groups.
     So keys and tokens of a text do not grow with the number of texts, and no document goes that has no partner at 0.8.
     """
     if words != WIDE_WORDS:
@@ -627,9 +669,16 @@ def wide_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stars = stars.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
     stars = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(classes.join(prints, "fp").select(F.col("id").alias("u"), F.col("least").alias("v")))
     near = _verified(_pruned(stars, classes, scratch, most), classes, base, scratch, most)
-    found = components(near, scratch).withColumnRenamed("u", "id")
-    info = scratch.keep(classes.join(found, "id", "left").select("id", "n", "bits", "wide", F.coalesce("root", "id").alias("grp")))
-    near = near.unionByName(_verified(_prefix_links(base, counted, info, scratch, most), classes, base, scratch, most))
+    shared = _shared_tokens(base, counted, scratch)
+    for whole in (False, True):
+        found = components(near, scratch)
+        info = scratch.keep(classes.join(found.withColumnRenamed("u", "id"), "id", "left").select("id", "n", "bits", "wide", F.coalesce("root", "id").alias("grp")))
+        links = _prefix_links(shared.where("many") if whole else shared, info, scratch, most, whole)
+        # What is known of groups goes on as one link an id.
+        near = found.withColumnRenamed("root", "v").unionByName(_verified(links, classes, base, scratch, most))
+        scratch.drop(info)
+        if shared.where("many").isEmpty():
+            break
     ids = sets.select("doc_id", F.col("id").alias("fp"))
     return _settle(ids, classes.select(F.col("id").alias("fp"), "first"), near, scratch)
 

@@ -355,6 +355,46 @@ def test_tokens_of_many_texts(spark, monkeypatch):
     assert len(set(want.values())) > 1
 
 
+def test_links_of_a_dense_group(spark, monkeypatch):
+    """A large group of near copies is joined by few links, not by all its pairs; the groups are those of all pairs."""
+    rng, texts = np.random.default_rng(4), []
+    base = [f"w{i}" for i in range(300)]
+    for i in range(200):
+        w = list(base)
+        for k in rng.choice(300, int(rng.integers(0, 6)), replace=False):
+            w[k] = f"x{i}_{k}"
+        texts.append(" ".join(w))
+    up = list(range(200))
+    pairs = jaccard_pairs(texts)
+    for a, b in pairs:
+        up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    verified, held = simhash._verified, []
+    monkeypatch.setattr(simhash, "_verified", lambda links, *args: held.append(links.count()) or verified(links, *args))
+    monkeypatch.setattr(simhash, "CARRIED", 1000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # With a radius of 0 the prefix filter finds all links.
+    assert {r.doc_id: r.component_id for r in simhash.wide_groups(df, radius=0).collect()} == dict(enumerate(up))
+    assert len(pairs) > 10_000 and sum(held) < 2000
+
+
+@pytest.mark.parametrize("many", [40, 700])
+def test_forest_of_pairs(many):
+    """Forests of a token have an edge less than ids in each connected part of all its pairs, also if pairs come in pieces."""
+    rng = np.random.default_rng(many)
+    group = rng.integers(0, many, many)
+    size = rng.integers(90, 130, many)
+    bits = np.zeros((many, 16), np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (many, 16), dtype=np.uint64)) * (rng.random((many, 16)) < 0.7)
+    first = np.unique(group, return_index=True)[1][np.unique(group, return_inverse=True)[1]]
+    found = []
+    for whole in (True, False):
+        a, b = (np.concatenate(x) for x in zip(*simhash._pairs_of_many(group, size, bits, whole), strict=True))
+        found.append((a, b, simhash._connected(first.copy(), a, b)))
+    (a, b, label), (u, v, same) = found
+    brute = {(i, j) for i in range(many) for j in range(i) if group[i] != group[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and 9 * np.bitwise_count(bits[i] ^ bits[j]).sum() <= size[i] + size[j]}
+    assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == brute and len(a) == len(brute)
+    assert np.array_equal(label, same) and len(u) == len(set(first)) - len(set(label)) < len(a)
+
+
 def test_parities_of_long_sets():
     """1024 parities are all alike for two sets of 3000; as many as the sets need tell them apart, and lose no pair at 0.8."""
     rng = np.random.default_rng(3)
